@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import decontamination, mixing, quality_rules, simhash, substring_dedup
 
-MODULES = (quality_rules, mixing)
+MODULES = (simhash, substring_dedup, quality_rules, mixing, decontamination)
 
 
 def queries() -> dict:
