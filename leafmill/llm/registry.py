@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, simhash, substring_dedup
+from . import chat_format, decontamination, mixing, quality_rules, simhash, substring_dedup, token_counts
 
-MODULES = (simhash, substring_dedup, quality_rules, mixing, decontamination)
+MODULES = (chat_format, simhash, substring_dedup, token_counts, quality_rules, mixing, decontamination)
 
 
 def queries() -> dict:
