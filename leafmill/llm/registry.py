@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, html_extract, lm_scoring, mixing, quality_rules, simhash, substring_dedup, token_counts
+from . import chat_format, decontamination, html_extract, lm_scoring, mixing, quality_cnn, quality_rules, simhash, substring_dedup, token_counts
 
-MODULES = (chat_format, simhash, substring_dedup, token_counts, lm_scoring, quality_rules, mixing, decontamination, html_extract)
+MODULES = (chat_format, simhash, substring_dedup, quality_cnn, token_counts, lm_scoring, quality_rules, mixing, decontamination, html_extract)
 
 
 def queries() -> dict:
