@@ -97,6 +97,16 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     return mix_plan(docs, seed).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of docs that the mix takes, with size, epochs (whole passes over the text)
+    and taken: the last pass ends after taken - epochs * size words of it. Columns of docs
+    with these names give way."""
+    plan = mix_plan(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_tied"), "size", "epochs", "taken")
+    plan = plan.dropDuplicates(["_id", "_tied"])  # rows that agree in id and text share a decision
+    rows = docs.drop("size", "epochs", "taken").withColumn("_tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    return rows.join(plan, F.expr("doc_id <=> _id AND _tie = _tied")).drop("_id", "_tied", "_tie")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 

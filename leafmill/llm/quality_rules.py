@@ -105,7 +105,10 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns only."""
     plain = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("_qr_row"), F.col("text"))
-    return judge(wide, rules).filter("kept").select("_qr_row.*")
+    # the row number keeps Catalyst from pushing the filter below the projections, where each
+    # use of a measure would compute it again
+    judged = judge(wide, rules).select("_qr_row", "kept", F.monotonically_increasing_id().alias("_qr_id"))
+    return judged.filter("kept AND _qr_id >= 0").select("_qr_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
