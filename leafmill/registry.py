@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from .plans import layout_queries, record_queries, text_queries
+
+MODULES = (text_queries, layout_queries, record_queries)
 
 
 def queries() -> dict:
