@@ -1,10 +1,11 @@
 """HTML extraction with a tree-structured graphical model.
 
 A page becomes a tree: block-level elements and runs of text between block boundaries.
-Every node has a binary label, main text or not. A node's own evidence is a logistic
-model of its tag, the words of its class, id and role, its length and its share of link
-text; the potential of a parent and child pair is the conditional probability of their labels.
-Both are trained on labelled pages (html_pages). Sum-product messages pass from
+Every node has a binary label, main text or not. A node's own evidence is a
+log-linear function of its tag, the words of its class, id and role, its length and its share
+of link text; the potential of a parent and child pair is the conditional probability of
+their labels. Both are trained on labelled pages (html_pages), the evidence by the
+likelihood of whole trees. Sum-product messages pass from
 the leaves to the root and back, for all pages of a batch at once, level by level, and
 leave each node its exact marginal; runs of text that are likelier main text than not
 are the result.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -195,7 +195,7 @@ class Tree:
                 node = self.parent[node]
         for node, (tag, words) in names.items():
             n, linked_n, many = chars[node]
-            self.features[node] = ["text element" if tag in TEXTUAL else "element", f"tag={tag}", *{f"word={w}" for w in words}, *{f"tag={tag} word={w}" for w in words}, f"size={_bucket(n, 10)}", f"links={_share(linked_n, n)}", f"runs={_bucket(many, 4)}", f"tag={tag} links={_share(linked_n, n)}"]
+            self.features[node] = ["text element" if tag in TEXTUAL else "element", f"tag={tag}", *{f"word={w}" for w in words}, *{f"tag={tag} word={w}" for w in words}, f"size={_bucket(n, 10)}", f"links={_share(linked_n, n)}", f"runs={_bucket(many, 4)}", f"tag={tag} links={_share(linked_n, n)}", f"tag={tag} in={names.get(self.parent[node], ('',))[0]}"]
         for leaf, n, linked_n in runs:
             tag, words = names[self.parent[leaf]]
             stop = self.text[leaf][-1] in ".!?"
@@ -210,70 +210,78 @@ def _share(part: int, whole: int) -> int:
     return -1 if not whole else min(4, 5 * part // whole)
 
 
+class Shape:
+    """Parents, kinds and levels of a forest, for message passing."""
+
+    def __init__(self, tree: Tree):
+        self.parent, self.kind = np.array(tree.parent, np.int64), np.array(tree.kind, np.int64)
+        depth = np.array(tree.depth, np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
+
+
+def sum_product(score: np.ndarray, shape: Shape, pairs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """P(main text) of every node: messages from the leaves to the roots, then back.
+    score: ln of a node's evidence for main text against the rest."""
+    n = len(score)
+    parent, up, message, down = shape.parent, np.zeros((n, 2)), np.zeros((n, 2)), np.zeros((n, 2))
+    up[:, 1] = score
+    for nodes in reversed(shape.levels[1:]):
+        pair = pairs[shape.kind[nodes]]  # child, parent's label, label
+        message[nodes] = np.logaddexp(pair[:, :, 0] + up[nodes, None, 0], pair[:, :, 1] + up[nodes, None, 1])
+        np.add.at(up, parent[nodes], message[nodes])
+    for level, nodes in enumerate(shape.levels):
+        if level == 0:
+            down[nodes] = prior
+            continue
+        above = down[parent[nodes]] + up[parent[nodes]] - message[nodes]
+        pair = pairs[shape.kind[nodes]]
+        down[nodes] = np.logaddexp(pair[:, 0, :] + above[:, :1], pair[:, 1, :] + above[:, 1:])
+    both = up + down
+    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+
+
 class Model:
-    """Evidence weights by feature, the labels' prior, and the pair potentials
+    """Evidence weights by feature, the roots' prior, and the pair potentials
     log P(child | parent) by the child's kind."""
 
     def __init__(self, weights: dict[str, float], pairs: np.ndarray, prior: np.ndarray):
         self.weights, self.pairs, self.prior = weights, pairs, prior
 
     def marginals(self, tree: Tree) -> np.ndarray:
-        """P(main text) of every node, by sum-product on the forest of pages."""
-        n = len(tree.parent)
-        parent, depth = np.array(tree.parent, np.int64), np.array(tree.depth, np.int64)
-        kind = np.array(tree.kind, np.int64)
         get = self.weights.get
         score = np.array([sum(get(f, 0.0) for f in fs) for fs in tree.features])
-        up = np.zeros((n, 2))
-        up[:, 1] = score  # log P(x | 1) - log P(x | 0)
-        message = np.zeros((n, 2))
-        levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if n else []
-        for nodes in reversed(levels[1:]):
-            pair = self.pairs[kind[nodes]]  # child, parent label, label
-            message[nodes] = np.logaddexp(pair[:, :, 0] + up[nodes, None, 0], pair[:, :, 1] + up[nodes, None, 1])
-            np.add.at(up, parent[nodes], message[nodes])
-        down = np.zeros((n, 2))
-        if levels:
-            down[levels[0]] = self.prior
-        for nodes in levels[1:]:
-            above = down[parent[nodes]] + up[parent[nodes]] - message[nodes]
-            pair = self.pairs[kind[nodes]]
-            down[nodes] = np.logaddexp(pair[:, 0, :] + above[:, :1], pair[:, 1, :] + above[:, 1:])
-        both = up + down
-        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+        return sum_product(score, Shape(tree), self.pairs, self.prior)
 
 
 @functools.lru_cache(maxsize=1)
-def train(n_pages: int = 700, seed: int = 5, rounds: int = 150) -> Model:
-    """Fit the model to generated labelled pages."""
+def train(n_pages: int = 1000, seed: int = 5, rounds: int = 150) -> Model:
+    """Fit the model to generated labelled pages: pair potentials from counts, evidence by
+    the conditional likelihood of whole trees, whose gradient compares the marginals with
+    the labels."""
     tree, pages = Tree(), Pages(seed)
     for k in range(n_pages):
         tree.parse(pages.page(), k)
-    y = np.array(tree.label, float)
+    y, shape = np.array(tree.label, float), Shape(tree)
+    pairs = np.zeros((3, 2, 2))
+    for kind in (ELEMENT, TEXT_ELEMENT, RUN):
+        mine = np.flatnonzero((shape.kind == kind) & (shape.parent >= 0))
+        for a in (0, 1):
+            for b in (0, 1):
+                pairs[kind, a, b] = 1 + np.sum((y[shape.parent[mine]] == a) & (y[mine] == b))
+        pairs[kind] /= pairs[kind].sum(axis=1, keepdims=True)
+    pairs, prior = np.log(pairs), np.log(np.array([0.99, 0.01]))
     names = {f: i for i, f in enumerate(sorted({f for fs in tree.features for f in fs}))}
     flat = np.array([names[f] for fs in tree.features for f in fs])
     sizes = np.array([len(fs) for fs in tree.features])
     node, begins = np.repeat(np.arange(len(y)), sizes), np.append(0, np.cumsum(sizes)[:-1])
     w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
-    for _ in range(rounds):  # logistic regression by AdaGrad
-        p = 1 / (1 + np.exp(-np.add.reduceat(w[flat], begins)))
-        grad = np.bincount(flat, (p - y)[node], len(names)) + 0.1 * w
+    for _ in range(rounds):  # AdaGrad
+        p = sum_product(np.add.reduceat(w[flat], begins), shape, pairs, prior)
+        grad = np.bincount(flat, (p - y)[node], len(names)) + 0.05 * w
         g2 += grad * grad
-        w -= 0.5 * grad / np.sqrt(g2)
-    kinds, parent = np.array(tree.kind), np.array(tree.parent)
-    pairs = np.zeros((3, 2, 2))
-    for kind in (ELEMENT, TEXT_ELEMENT, RUN):
-        mine = np.flatnonzero((kinds == kind) & (parent >= 0))
-        for a in (0, 1):
-            for b in (0, 1):
-                pairs[kind, a, b] = 1 + np.sum((y[parent[mine]] == a) & (y[mine] == b))
-        pairs[kind] /= pairs[kind].sum(axis=1, keepdims=True)
-    # evidence: what a node says beyond the share of its kind
-    weights = dict(zip(names, w.tolist(), strict=True))
-    for kind, name in ((ELEMENT, "element"), (TEXT_ELEMENT, "text element"), (RUN, "run")):
-        share = (y[kinds == kind].mean() * 0.98) + 0.01
-        weights[name] -= math.log(share / (1 - share))
-    return Model(weights, np.log(pairs), np.log(np.array([0.99, 0.01])))
+        w -= 0.4 * grad / np.sqrt(g2)
+    return Model(dict(zip(names, w.tolist(), strict=True)), pairs, prior)
 
 
 def extract(pages: list[str], model: Model) -> list[str]:

@@ -51,6 +51,8 @@ class Pages:
         tag = self.r.choice(["div", "div", "section", "aside", "p"])
         name = self.named("cookie", "notice", "alert", "banner", "consent", "newsletter", "popup", "modal", "subscribe", "warning", "message")
         inside = self.sentences(1, 3)
+        if self.maybe(0.1):
+            return f"<noscript data-y=0>{self.phrase(2, 6)}.</noscript>"
         if tag != "p":
             inside = self.r.choice([inside, f"<p>{inside}</p>"]) + ("<button>Ok</button>" if self.maybe(0.4) else "")
         return f"<{tag}{name} data-y=0>{inside}</{tag}>"
@@ -70,6 +72,8 @@ class Pages:
         tag, name = self.r.choice(["section", "div", "ol"]), self.named("comments", "comment-list", "responses", "discussion", "replies")
         one = self.r.choice(["div", "article", "li"]) if tag != "ol" else "li"
         items = "".join(f"<{one}{self.named('comment', 'reply')}><p>{self.sentences(1, 4)}</p></{one}>" for _ in range(self.r.randint(1, 4)))
+        if tag != "ol" and self.maybe(0.4):  # no element for each
+            items = "".join(f"<p>{self.sentences(1, 4)}</p>" for _ in range(self.r.randint(1, 3)))
         return f"<{tag}{name} data-y=0>" + (f"<h3>{self.phrase(1, 2)}</h3>" if self.maybe(0.5) else "") + items + f"</{tag}>"
 
     def form(self) -> str:
@@ -91,7 +95,8 @@ class Pages:
         return self.r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>"])
 
     def body(self) -> str:
-        parts = [f"<h1>{self.phrase(2, 9)}</h1>"] if self.maybe(0.8) else []
+        title = f"<h1>{self.phrase(2, 9)}</h1>"
+        parts = [f"<header>{title}</header>" if self.maybe(0.15) else title] if self.maybe(0.8) else []
         terse = self.maybe(0.2)  # many short, alike paragraphs
         for _ in range(self.r.choice([8, 20, 40] if terse else [1, 1, 2, 3, 4, 6, 9, 15])):
             kind = self.r.random()
@@ -115,6 +120,9 @@ class Pages:
         for extra in (self.advert, self.side, self.notice, self.form, self.comments):
             if self.maybe(0.08):
                 parts.insert(self.r.randint(1, len(parts)), extra())
+        if len(parts) > 1 and self.maybe(0.3):  # a plain element around some of it
+            k, tag = self.r.randrange(len(parts)), self.r.choice(["section", "div", "div"])
+            parts[k:] = [f"<{tag}>{''.join(parts[k:])}</{tag}>"]
         return "".join(parts)
 
     def page(self) -> str:
@@ -123,7 +131,7 @@ class Pages:
         out = self.body() if bare else f"<{tag}{name} data-y=1>{self.body()}</{tag}>"
         if tag == "article" and not bare and self.maybe(0.3):
             out = f"<main>{out}{self.comments() if self.maybe(0.4) else ''}</main>"
-        for make, share in ((self.comments, 0.3), (self.side, 0.4), (self.form, 0.25), (self.advert, 0.3), (self.footer, 0.8)):
+        for make, share in ((self.comments, 0.45), (self.side, 0.4), (self.form, 0.25), (self.advert, 0.3), (self.footer, 0.8)):
             if self.maybe(share):
                 out += make()
         for make, share in ((self.side, 0.15), (self.advert, 0.4), (self.notice, 0.35), (self.menu, 0.7), (self.header, 0.5)):
