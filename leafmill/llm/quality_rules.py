@@ -68,6 +68,9 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_qr_at", F.when(F.col("_qr_order").isNotNull(), F.expr(at)))
     covered = f"aggregate(transform(_qr_at, (p, j) -> least({WINDOW}, coalesce(get(_qr_at, j + 1) - p, {WINDOW}))), 0, (a, x) -> a + x)"
     d = d.withColumn("n_repeat_words", F.when(F.col("_qr_at").isNull(), F.lit(0)).otherwise(F.expr(covered)).cast("long"))
+    # a row number keeps Catalyst from pushing filters below the projections, where each use of
+    # a measure would compute it again
+    d = d.withColumn("n_words", F.when(F.monotonically_increasing_id() >= 0, F.col("n_words")))
     return d.drop("_qr_text", "_qr_words", "_qr_lines", "_qr_hashes", "_qr_order", "_qr_at")
 
 
@@ -105,10 +108,7 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns only."""
     plain = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("_qr_row"), F.col("text"))
-    # the row number keeps Catalyst from pushing the filter below the projections, where each
-    # use of a measure would compute it again
-    judged = judge(wide, rules).select("_qr_row", "kept", F.monotonically_increasing_id().alias("_qr_id"))
-    return judged.filter("kept AND _qr_id >= 0").select("_qr_row.*")
+    return judge(wide, rules).filter("kept").select("_qr_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
