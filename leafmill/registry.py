@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import layout_queries, record_queries, text_queries
+from .plans import layout_queries, record_queries, sink_queries, text_queries
 
-MODULES = (text_queries, layout_queries, record_queries)
+MODULES = (text_queries, layout_queries, record_queries, sink_queries)
 
 
 def queries() -> dict:
