@@ -6,14 +6,15 @@
    found by one aggregation with map-side combine and kept as a bitmap whose size is
    chosen by their number and never above 2**30 bits; a full bitmap only lets more
    windows through to the next step.
-2. Windows whose minimizer is in the bitmap are confirmed by a second aggregation over
-   128-bit hashes of the windows: a window recurs if it starts in two documents, and its
-   owner is the smallest of them.
-3. Documents are dealt to shards of about equal size. A shard's confirmed windows are
-   compiled into Aho-Corasick automata over word numbers, and its documents are
-   streamed through them, which locates every occurrence, word by word. An occurrence
-   in a document with a larger id than the owner's is removed. A document without a
-   window that could recur has none and skips this step.
+2. Runs of windows whose minimizer is in the bitmap leave their documents as segments. Segments
+   are dealt to shards of about equal size by their least minimizer, so that copies of a
+   passage meet as far as the size allows, and each shard's distinct windows are confirmed by
+   96 bits of hashes: a window recurs if it starts in two documents, and its owner is
+   the smallest of them.
+3. A shard's confirmed windows are compiled into Aho-Corasick automata over word numbers,
+   and the segments of all documents are streamed through them, which locates every occurrence,
+   word by word. An occurrence in a document with a larger id than the owner's is removed.
+   Words outside of segments cannot be part of one.
 
 No step collects a group: a passage that a third of all documents share costs each
 shard one pattern.
@@ -34,10 +35,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import gram_hashes, materialize, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
+from ._shared import gram_hashes, materialize, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
 
 WINDOW, GRAM = 13, 5
 MOST_BITS = 30
@@ -120,47 +122,52 @@ def _may_recur(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _stager(shared):
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds word counts, whether a window may recur and, if none may, the digest."""
+def _segmenter(shared):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, h) -> runs of windows that may recur: doc_id, h, the run's first word,
+        its text and a key that its copies share (the least minimizer)."""
         bits = shared.value
         for batch in batches:
-            ids, text = batch.column("doc_id"), batch.column("text")
-            n_words, may = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
-            for i, j, *_, first, words, row_of in _scanned(text):
-                n_words[i:j] = np.diff(first)
+            ids, h = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i, _, part, starts, ends, first, words, row_of in _scanned(batch.column(1)):
                 grams, windows, at = _minimizers(words, row_of)
-                if len(at):
-                    may[i + np.unique(row_of[windows[_may_recur(bits, grams[at])]])] = True
-            may &= ~np.asarray(ids.is_null())
-            sha = [None if m else hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t, m in zip(text, may.tolist(), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(n_words), pa.array(may), pa.array(sha, pa.string())], [*batch.schema.names, "n_words", "may_recur", "sha"])
-
-    return stage
-
-
-def _emit_windows(shared):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, window hash) with the least and largest doc_id of a piece of text."""
-        bits = shared.value
-        for batch in batches:
-            ids, shard = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for i, j, part, starts, ends, first, words, row_of in _scanned(batch.column(1)):
-                grams, windows, at = _minimizers(words, row_of)
-                if not len(at):
+                again = np.flatnonzero(_may_recur(bits, grams[at]))
+                if not len(again):
                     continue
-                windows = windows[_may_recur(bits, grams[at])]
-                a = gram_hashes(words, WINDOW)[windows]
-                b = gram_hashes(word_hashes(part, starts, ends, 1), WINDOW, 1)[windows]
-                doc, s = ids[i:j][row_of[windows]], shard[i:j][row_of[windows]]
-                order = np.lexsort((doc, s, b, a))
-                a, b, s, doc = a[order], b[order], s[order], doc[order]
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1]))[: len(a)]
-                cut = np.flatnonzero(new)
-                last = np.append(cut[1:], len(a))[: len(cut)] - 1
-                yield pa.record_batch([pa.array(s[cut]), _signed(a[cut]), _signed(b[cut]), pa.array(doc[cut]), pa.array(doc[last])], ["shard", "a", "b", "least", "most"])
-
-    return emit
+                w, m = windows[again], grams[at[again]]
+                begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1] + 1) | (row_of[w[1:]] != row_of[w[:-1]])))
+                lo, hi = w[begin], w[np.append(begin[1:], len(w)) - 1] + WINDOW
+                row, raw = row_of[lo], part.tobytes()
+                texts = [raw[a:b].decode() for a, b in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
+                key = mixed(np.minimum.reduceat(m, begin))
+                yield pa.record_batch([pa.array(ids[i + row]), pa.array(h[i + row]), pa.array(lo - first[row]), pa.array(texts, pa.string()), _signed(key)], ["doc_id", "h", "at", "text", "key"])
+
+    return cut
+
+
+def _windows(t: pa.Table) -> pa.Table:
+    """The distinct windows of a shard's segments, with their least and largest doc_id."""
+    ids = t.column("doc_id").to_numpy()
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    for i, _, part, starts, ends, first, words, row_of in _scanned(t.column("text").combine_chunks()):
+        n = len(words) - WINDOW + 1
+        if n > 0:
+            own = np.flatnonzero(row_of[:n] == row_of[WINDOW - 1 :])
+            a, b = _window_hashes(part, starts, ends, words)
+            found.append((a[own], b[own], ids[i + row_of[own]]))
+    a, b, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((doc, b, a))
+    a, b, doc = a[order], b[order], doc[order]
+    cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    last = np.append(cut[1:], len(a))[: len(cut)] - 1
+    shard = np.full(len(cut), t.column("shard")[0].as_py(), np.int64)
+    return pa.table({"shard": pa.array(shard), "a": _signed(a[cut]), "b": pa.array(b[cut].view(np.int32)), "least": pa.array(doc[cut]), "most": pa.array(doc[last])})
+
+
+def _window_hashes(part, starts, ends, words) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of every window: 64 by one hash of its words, 32 by another."""
+    second = gram_hashes(word_hashes(part, starts, ends, 1), WINDOW, 1)
+    return gram_hashes(words, WINDOW), (second >> np.uint64(32)).astype(np.uint32)
 
 
 def _points(numbers: np.ndarray) -> str:
@@ -182,12 +189,11 @@ def covered_words(ids: np.ndarray, col: pa.Array, a: np.ndarray, b: np.ndarray,
     order = np.argsort(a, kind="stable")
     a, b, owner = a[order], b[order], owner[order]
     row_of = np.repeat(np.arange(len(ids)), np.diff(first))
-    ha = gram_hashes(word_hashes(buf, starts, ends), WINDOW)
+    ha, hb = _window_hashes(buf, starts, ends, word_hashes(buf, starts, ends))
     place = np.minimum(np.searchsorted(a, ha), len(a) - 1)
     hit = np.flatnonzero((a[place] == ha) & (row_of[:n] == row_of[WINDOW - 1 :]))
     if not len(hit):
         return buf, starts, ends, first, covered
-    hb = gram_hashes(word_hashes(buf, starts, ends, 1), WINDOW, 1)
     hit = hit[b[place[hit]] == hb[hit]]
     # the words of each confirmed window, from its first place in this shard
     known, where = np.unique(place[hit], return_index=True)
@@ -217,75 +223,120 @@ def covered_words(ids: np.ndarray, col: pa.Array, a: np.ndarray, b: np.ndarray,
     return buf, starts, ends, first, covered
 
 
-def _remove(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-    """The documents of a shard and its confirmed windows -> n_removed and kept words."""
-    docs = docs.drop_columns(["shard"])
-    ids, text = docs.column("doc_id").to_numpy(), docs.column("text").combine_chunks()
-    a, b = (phrases.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "ab")
-    buf, starts, ends, first, covered = covered_words(ids, text, a, b, phrases.column("owner").to_numpy())
-    whole, total = buf.tobytes(), np.append(0, np.cumsum(covered))
-    removed, kept = total[first[1:]] - total[first[:-1]], []
-    for r in range(len(ids)):
-        lo, hi = int(first[r]), int(first[r + 1])
-        spans = zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), covered[lo:hi].tolist(), strict=True)
-        kept.append(b" ".join([whole[s:e] for s, e, c in spans if not c]).decode())
-    return docs.append_column("n_removed", pa.array(removed, pa.int64())).append_column("kept", pa.array(kept, pa.string()))
-
-
-def _scan(rows: DataFrame) -> tuple[DataFrame, object]:
-    """rows (doc_id, text, ...) written once with row, n_words, may_recur and sha; the
-    text of a row is given only where it may have recurring windows, unless `rows` has
-    other columns that need it."""
-    spark = rows.sparkSession
-    known = rows.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    hashes = materialize(recurring(known), "recurring")
-    shared = spark.sparkContext.broadcast(bitmap(hashes))
-    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("may_recur", T.BooleanType()), T.StructField("sha", T.StringType())])
-    return rows.mapInArrow(_stager(shared), schema), shared
-
-
-def _located(some: DataFrame, shared) -> DataFrame:
-    """some: written rows that may have recurring windows, numbered by `row`.
-    Adds n_removed and kept."""
-    long = T.LongType()
+def _locate(segments: pa.Table, phrases: pa.Table) -> pa.Table:
+    """The segments of a shard and its confirmed windows -> runs of words to remove."""
+    ids = segments.column("doc_id").to_numpy()
+    a = phrases.column("a").to_numpy().astype(np.int64).view(np.uint64)
+    b = phrases.column("b").to_numpy().astype(np.int32).view(np.uint32)
+    _, _, _, first, covered = covered_words(ids, segments.column("text").combine_chunks(), a, b, phrases.column("owner").to_numpy())
+    row_of = np.repeat(np.arange(len(ids)), np.diff(first))
+    on = np.flatnonzero(covered)
+    new = np.append(True, (on[1:] != on[:-1] + 1) | (row_of[on[1:]] != row_of[on[:-1]]))[: len(on)]
+    begin = np.flatnonzero(new)
+    lo, hi = on[begin], on[np.append(begin[1:], len(on))[: len(begin)] - 1] + 1
+    row = row_of[lo]
+    base = segments.column("at").to_numpy()[row] - first[row]
+    return pa.table({"doc_id": pa.array(ids[row]), "h": pa.array(segments.column("h").to_numpy()[row]), "lo": pa.array(lo + base), "hi": pa.array(hi + base)})
+
+
+def removed_spans(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, h: a hash of the text) -> (doc_id, h, spans) of documents that lose
+    words; spans is a list of (lo, hi) word numbers that may overlap. Written, not lazy."""
+    context, long = rows.sparkSession.sparkContext, T.LongType()
+    known = rows.select("doc_id", "text", "h").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    hashes = materialize(recurring(known.select("doc_id", "text")), "recurring")
+    schema = read_schema(("doc_id", long), ("h", long), ("at", long), ("text", T.StringType()), ("key", long))
+    some = materialize(known.mapInArrow(_segmenter(context.broadcast(bitmap(hashes))), schema), "segments")
     size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    dealt = some.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(1, size // SHARD_BYTES))).cast("long"))
-    seen = dealt.select("doc_id", "text", "shard").mapInArrow(_emit_windows(shared), read_schema(("shard", long), ("a", long), ("b", long), ("least", long), ("most", long)))
-    owned = seen.groupBy("a", "b").agg(F.min("least").alias("owner"), F.max("most").alias("last")).filter("owner < last").drop("last")
-    phrases = seen.select("shard", "a", "b").distinct().join(owned, ["a", "b"])
-    out = T.StructType([*some.schema.fields, T.StructField("n_removed", long), T.StructField("kept", T.StringType())])
-    return dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_remove, out)
+    # equal slices of the keys; a slice that copies make too large is dealt out again
+    bits = max(1, (size // SHARD_BYTES).bit_length())
+    sliced = some.withColumn("slice", F.shiftrightunsigned("key", 64 - bits))
+    large = sliced.groupBy("slice").agg(F.sum(F.octet_length("text")).alias("size")).filter(F.col("size") > 2 * SHARD_BYTES)
+    parts = large.select(F.col("slice").alias("_slice"), F.ceil(F.col("size") / SHARD_BYTES).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")), F.lit(0))
+    dealt = sliced.join(parts, F.col("slice") == F.col("_slice"), "left").withColumn("shard", (part * 2**bits + F.col("slice")).cast("long")).select("doc_id", "h", "at", "text", "shard")
+    windows = read_schema(("shard", long), ("a", long), ("b", T.IntegerType()), ("least", long), ("most", long))
+    seen = dealt.groupBy("shard").applyInArrow(_windows, windows)
+    same = W.partitionBy("a", "b")  # one row a shard at most
+    phrases = seen.select("shard", "a", "b", F.min("least").over(same).alias("owner"), F.max("most").over(same).alias("last")).filter("owner < last").drop("last")
+    found = dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate, read_schema(("doc_id", long), ("h", long), ("lo", long), ("hi", long)))
+    # repeated rows have equal spans
+    return materialize(found.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+
+
+def _kept(text: str, spans: list[dict]) -> tuple[str, int]:
+    words = text.encode().split()
+    cut = np.zeros(len(words) + 1, np.int64)
+    for s in spans:
+        cut[s["lo"]] += 1
+        cut[s["hi"]] -= 1
+    gone = np.cumsum(cut[:-1]) > 0
+    return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode(), int(gone.sum())
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("h", F.xxhash64("text"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    staged, shared = _scan(docs)
-    slim = staged.withColumn("text", F.when(F.col("may_recur"), F.col("text"))).withColumn("row", F.monotonically_increasing_id())
-    slim = materialize(slim, "scanned")
-    done = _located(slim.filter("may_recur").select("row", "doc_id", "text", "n_words"), shared)
-    done = done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return done.unionAll(slim.filter("NOT may_recur").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+    rows = _hashed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = removed_spans(rows)
+    # a bitmap of the documents that lose words: others need not send their texts to the join
+    shared = spark.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("doc_id", "h").alias("h"))))
+    long, string = T.LongType(), T.StringType()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            send = _may_recur(bits, batch.column(3).to_numpy().view(np.uint64))
+            texts, n, sha = [], [], []
+            for t, s in zip(batch.column(1), send.tolist(), strict=True):
+                t = t.as_py() or ""
+                words = t.encode().split()
+                n.append(len(words))
+                texts.append(t if s else None)
+                sha.append(None if s else hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(texts, string_), pa.array(n, pa.int64()), pa.array(sha, string_)], ["doc_id", "h", "text", "n_words", "sha"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, sha = [], []
+            for t, s, found in zip(batch.column("text"), batch.column("sha").to_pylist(), batch.column("spans"), strict=True):
+                gone = 0
+                if s is None:
+                    kept, gone = _kept(t.as_py(), found.as_py() or [])
+                    s = hashlib.sha256(kept.encode()).hexdigest()
+                removed.append(gone)
+                sha.append(s)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, string_)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    string_ = pa.string()
+    told = rows.select("doc_id", "text", "h", F.xxhash64("doc_id", "h").alias("k")).mapInArrow(digest, read_schema(("doc_id", long), ("h", long), ("text", string), ("n_words", long), ("sha", string)))
+    both = told.join(spans, ["doc_id", "h"], "left").select("doc_id", "n_words", "text", "sha", "spans")
+    return both.mapInArrow(finish, read_schema(("doc_id", long), ("n_words", long), ("n_removed", long), ("kept_sha256", string)))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed: a text that loses words becomes its kept words
     joined by one space (n_chars, if there is such a column, follows); others stay as they are."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"))
-    staged, shared = _scan(rows)
-    staged = staged.drop("sha")
-    some = materialize(staged.filter("may_recur").withColumn("row", F.monotonically_increasing_id()), "may-recur")
-    done = _located(some.select("row", "doc_id", "text", "other"), shared)
-    cut = F.col("n_removed") > 0
-    done = done.select("other", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), cut.alias("cut"))
-    both = done.unionAll(staged.filter("NOT may_recur").select("other", "text", F.lit(False).alias("cut")))
+    rows = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("other")))
+    spans = removed_spans(rows)
+    both = rows.join(spans, ["doc_id", "h"], "left").select("other", "text", "spans")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() if not s.is_valid else _kept(t.as_py(), s.as_py())[0] for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            yield pa.record_batch([batch.column("other"), pa.array(texts, pa.string()), batch.column("spans").is_valid()], ["other", "text", "cut"])
+
+    done = both.mapInArrow(finish, T.StructType([both.schema["other"], both.schema["text"], T.StructField("cut", T.BooleanType())]))
     cols = []
     for c in docs.columns:
         own = F.col("text") if c == "text" else F.col(f"other.`{c}`")
         if c == "n_chars":
             own = F.when(F.col("cut"), F.length("text")).otherwise(own).cast(docs.schema["n_chars"].dataType)
         cols.append(own.alias(c))
-    return both.select(*cols)
+    return done.select(*cols)
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
