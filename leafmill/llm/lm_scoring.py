@@ -7,15 +7,15 @@ probability of its own subtree; the weighted probability of a node mixes the est
 the product of its children half and half, which gives the posterior weight with which
 a prediction stops at a depth. A text's code length is the sum over its symbols.
 
-Counts come from all training texts: distinct grams are counted in every task, then in
-one aggregation. Subtrees below two context bytes are independent and are worked
-out where their grams meet; two levels remain for the driver (65,536 contexts at most).
-The model that is sent out holds the MOST_NODES most visited nodes at most, whatever the
-size of the corpus; a node left out counts in all of its ancestors, and predictions
-stop at the deepest node there is.
+Distinct grams of all texts are counted in every task, then in one aggregation, with
+how often they come in training texts. Subtrees from two context bytes on are independent: each is
+worked out where its grams meet, and scores all of these grams there. The nodes of one context
+byte and none (65,792 at most) finish the scores, one for each distinct gram. So the tree is
+nowhere in one place, and no node is left out of it; a prediction stops at the
+deepest node that training has seen.
 
-The base score needs a count for every word. The most frequent words, KNOWN_WORDS at most,
-are sent out; all others are joined by word, which no frequent word can skew.
+Texts need the score of every gram and the count of every word. The most frequent ones, KNOWN_GRAMS and
+KNOWN_WORDS at most, are sent out; all others are joined, which no frequent one can skew.
 
 Defined results: null and empty text have one token, the end; rows are scored one by one, so repeated
 rows count as often as they come, in training too; a null doc_id is hashed as an empty string;
@@ -38,14 +38,13 @@ from ._shared import LOWER, materialize, mixed, pieces, read_schema, table, text
 
 DEPTH = 5
 END = 256
-#: Bounds of what is sent to the executors: nodes and words.
-MOST_NODES, KNOWN_WORDS = 2**21, 2**20
+#: Grams and words that are sent to the executors at most; the others are joined.
+KNOWN_GRAMS, KNOWN_WORDS = 2**20, 2**20
 #: A node below two context bytes belongs to the tree from so many visits on.
 LEAST_VISITS = 3
-#: Grams that a task counts before it hands them on; grams whose scores a worker remembers.
-HELD_GRAMS, REMEMBERED = 3_000_000, 2**21
+#: Grams that a task counts before it hands them on; grams of a subtree that are worked out at once.
+HELD_GRAMS, SLICE_GRAMS = 3_000_000, 250_000
 FOLDS = 10
-_CTX = np.uint64(2 ** (8 * DEPTH) - 1)
 _LN10 = np.log(10.0)
 
 
@@ -132,151 +131,165 @@ def weigh(key, n0, n1, below, depth: int, to: int) -> Iterator[tuple]:
         key, (n0, n1, below) = _summed(key & keep, n0, n1, weighted)
 
 
-_NODE = (("depth", T.IntegerType()), ("key", T.LongType()), ("n0", T.DoubleType()), ("n1", T.DoubleType()), ("weighted", T.DoubleType()), ("stop", T.DoubleType()))
+def mix(odds: np.ndarray, gram: np.ndarray, depth: int, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, stop: np.ndarray) -> None:
+    """Mix the nodes of a depth into the probabilities of each gram's decisions, as they
+    come out; not a number where no deeper node is known."""
+    if not len(key):
+        return
+    keep = np.uint64((2 ** (8 * depth) - 1) << 9)
+    for k, (which, node, bit) in enumerate(decisions(gram)):
+        want = (gram[which] & keep) | node
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        known = np.flatnonzero(key[at] == want)
+        at, which = at[known], which[known]
+        own = (np.where(bit[known] == 1, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
+        deeper = odds[which, k]
+        odds[which, k] = np.where(np.isnan(deeper), own, stop[at] * own + (1 - stop[at]) * deeper)
+
+
+#: A gram, how often it comes and what depth two and below make of its decisions; or a node of depth two.
+_PART = (("gram", T.LongType()), ("m", T.LongType()), ("odds", T.BinaryType()), ("key", T.LongType()), ("n0", T.DoubleType()), ("n1", T.DoubleType()), ("weighted", T.DoubleType()))
 
 
 def _subtree(t: pa.Table) -> pa.Table:
-    """Grams of one two-byte context -> its nodes from full depth up to depth two."""
-    gram, n = t.column("gram").to_numpy().astype(np.int64).view(np.uint64), t.column("n").to_numpy().astype(float)
-    parts = []
-    for depth, key, n0, n1, weighted, stop in weigh(*leaves(gram, n), None, DEPTH, 2):
-        keep = np.ones(len(key), bool) if depth == 2 else n0 + n1 >= LEAST_VISITS
-        parts.append((np.full(keep.sum(), depth, np.int32), key[keep].view(np.int64), n0[keep], n1[keep], weighted[keep], stop[keep]))
-    return pa.table({name: pa.array(np.concatenate(x)) for (name, _), x in zip(_NODE, zip(*parts, strict=True), strict=True)})
-
-
-class Tree:
-    """Nodes by key: the estimate of a one and the weight of stopping there."""
-
-    def __init__(self, key: np.ndarray, one: np.ndarray, stop: np.ndarray):
-        h = mixed(key)
-        order = np.argsort(h)
-        self.bits = np.uint64(64 - max(1, int(2 * len(key) + 1).bit_length()))
-        self.key, self.one, self.stop = key[order], one[order].astype(np.float32), stop[order].astype(np.float32)
-        slots = (h[order] >> self.bits).astype(np.int64)
-        count = np.bincount(slots, minlength=2 ** (64 - int(self.bits)))
-        self.first = np.append(0, np.cumsum(count)).astype(np.int32)
-        self.fullest = int(count.max(initial=0))
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Place of each key, or -1."""
-        out = np.full(len(key), -1, np.int64)
-        slot = mixed(key) >> self.bits
-        place, end = self.first[slot].astype(np.int64), self.first[slot + np.uint64(1)]
-        open_ = np.arange(len(key))
-        for _ in range(self.fullest):
-            more = place[open_] < end[open_]
-            open_ = open_[more]
-            if not len(open_):
-                break
-            hit = self.key[place[open_]] == key[open_]
-            out[open_[hit]] = place[open_[hit]]
-            open_ = open_[~hit]
-            place[open_] += 1
-        return out
-
-    def log_probability(self, gram: np.ndarray) -> np.ndarray:
+    """Grams of one two-byte context -> the same with their odds, and its nodes of depth two."""
+    gram, n, m = (t.column(c).to_numpy() for c in ("gram", "n", "m"))
+    gram = gram.astype(np.int64).view(np.uint64)
+    third = gram >> np.uint64(25) & np.uint64(0xFF)
+    order = np.lexsort((gram, third))
+    gram, n, m, third = gram[order], n[order].astype(float), m[order], third[order]
+    odds = np.full((len(gram), 9), np.nan)
+    # subtrees of a third byte are independent as well
+    cuts = [0]
+    for end in [*(np.flatnonzero(third[1:] != third[:-1]) + 1).tolist(), len(gram)]:
+        if end - cuts[-1] >= SLICE_GRAMS or end == len(gram):
+            cuts.append(end)
+    top = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        train = np.flatnonzero(n[i:j]) + i
+        if not len(train):
+            continue
+        for depth, key, n0, n1, weighted, stop in weigh(*leaves(gram[train], n[train]), None, DEPTH, 3):
+            keep = n0 + n1 >= LEAST_VISITS
+            mix(odds[i:j], gram[i:j], depth, key[keep], n0[keep], n1[keep], stop[keep])
+        top.append((key, n0, n1, weighted))
+    key, n0, n1, weighted = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
+    if top:
+        key, *values = (np.concatenate(x) for x in zip(*top, strict=True))
+        key, (n0, n1, below) = _summed(key & np.uint64(0xFFFF << 9 | 511), *values)
+        _, _, _, _, weighted, stop = next(weigh(key, n0, n1, below, 2, 2))
+        mix(odds, gram, 2, key, n0, n1, stop)
+    width = 9 * 4
+    packed = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, width * len(gram) + 1, width, dtype=np.int32)), pa.py_buffer(odds.astype(np.float32).tobytes())])
+    long, double = pa.int64(), pa.float64()
+    columns = [
+        (pa.array(gram.view(np.int64)), pa.nulls(len(key), long)), (pa.array(m.astype(np.int64)), pa.nulls(len(key), long)), (packed, pa.nulls(len(key), pa.binary())),
+        (pa.nulls(len(gram), long), pa.array(key.view(np.int64))), *((pa.nulls(len(gram), double), pa.array(x)) for x in (n0, n1, weighted)),
+    ]
+    return pa.table({name: pa.concat_arrays(x) for (name, _), x in zip(_PART, columns, strict=True)})
+
+
+def _valuer(top):
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ln of the mixed probability of each gram's symbol behind its context."""
-        total = np.zeros(len(gram))
-        for which, node, bit in decisions(gram):
-            p, known = np.full(len(which), 0.5), np.zeros(len(which), bool)
-            for depth in range(DEPTH, -1, -1):
-                ctx = gram[which] & np.uint64((2 ** (8 * depth) - 1) << 9)
-                at = self.find(np.uint64(depth << 56) | ctx | node)
-                has = at >= 0
-                one, stop = self.one[at[has]], self.stop[at[has]]
-                stop = np.where(known[has], stop, 1.0)
-                p[has] = stop * one + (1 - stop) * p[has]
-                known |= has
-            total[which] += np.log(np.where(bit == 1, p, 1 - p))
-        return total
-
-
-class Memory:
-    """Scores of grams that were met lately, in a table of fixed size."""
-
-    def __init__(self, tree: Tree):
-        self.tree, self.gram, self.value = tree, np.full(REMEMBERED, 2**64 - 1, np.uint64), np.zeros(REMEMBERED, np.float32)
-        self.bits = np.uint64(64 - (REMEMBERED.bit_length() - 1))
-
-    def log_probability(self, gram: np.ndarray) -> np.ndarray:
-        slot = mixed(gram) >> self.bits
-        out = self.value[slot].astype(np.float64)
-        missed = np.flatnonzero(self.gram[slot] != gram)
-        if len(missed):
-            new, inverse = np.unique(gram[missed], return_inverse=True)
-            value = self.tree.log_probability(new)
-            out[missed] = value[inverse].astype(np.float32)
-            at = mixed(new) >> self.bits
-            # of grams that share a slot the last is written to both arrays
-            last = np.unique(at[::-1], return_index=True)[1]
-            keep = len(at) - 1 - last
-            self.gram[at[keep]], self.value[at[keep]] = new[keep], value[keep]
-        return out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, packed = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(2)
+            at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :]
+            odds = np.frombuffer(packed.buffers()[2], np.float32, 9 * len(gram), int(at[0])).astype(float).reshape(-1, 9)
+            for level in top.value:
+                mix(odds, gram, *level)
+            total = np.zeros(len(gram))
+            for k, (which, _, _) in enumerate(decisions(gram)):
+                p = odds[which, k]
+                total[which] += np.log(np.where(np.isnan(p), 0.5, p))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], ["gram", "m", "value"])
+
+    return value
+
+
+class Known:
+    """Values of the most frequent grams: a slot for each hash finds most, a search all."""
+
+    def __init__(self, gram: np.ndarray, m: np.ndarray, value: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.value = gram[order], value[order]
+        self.bits = np.uint64(64 - max(1, int(2 * len(gram) + 1).bit_length()))
+        self.owner = np.zeros(2 ** (64 - int(self.bits)), np.int32)
+        # of grams that share a slot the most frequent has it
+        rising = np.argsort(m[order], kind="stable")
+        self.owner[(mixed(self.gram[rising]) >> self.bits).astype(np.int64)] = rising
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or zero, known) of each gram."""
+        if not len(self.gram):
+            return np.zeros(len(gram)), np.zeros(len(gram), bool)
+        at = self.owner[mixed(gram) >> self.bits].astype(np.int64)
+        known = self.gram[at] == gram
+        other = np.flatnonzero(~known)
+        at[other] = np.minimum(np.searchsorted(self.gram, gram[other]), len(self.gram) - 1)
+        known[other] = self.gram[at[other]] == gram[other]
+        return np.where(known, self.value[at], 0.0), known
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Distinct grams: how often they come in training texts, and in all."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        gram, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-        return gram, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gram, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return gram, *(c.astype(np.int64) for c in counts)
 
-    def told(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array((gram >> np.uint64(9) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n)], ["near", "gram", "n"])
+    def told(gram: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array((gram >> np.uint64(9) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(m)], ["near", "gram", "n", "m"])
 
     for batch in batches:
         train = ~is_held_out(batch.column(0).to_pylist(), FOLDS)
-        buf, at = text_buffer(batch.column(1).filter(pa.array(train)))
-        for _, _, part, off in pieces(buf, at):
-            held.append(np.unique(grams(LOWER[part], off)[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD_GRAMS:
-                held = [summed()]
-                size = len(held[0][0])
-                if size > HELD_GRAMS // 2:
-                    yield told(*held[0])
-                    held, size = [], 0
+        for rows, counts in ((train, 1), (~train, 0)):
+            buf, at = text_buffer(batch.column(1).filter(pa.array(rows)))
+            for _, _, part, off in pieces(buf, at):
+                gram, m = np.unique(grams(LOWER[part], off)[0], return_counts=True)
+                held.append((gram, counts * m, m))
+                size += len(gram)
+                if size > HELD_GRAMS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > HELD_GRAMS // 2:
+                        yield told(*held[0])
+                        held, size = [], 0
     if held:
         yield told(*summed())
 
 
-def train_tree(docs: DataFrame) -> Tree:
-    """The context tree of all training texts (doc_id, text)."""
-    counted = docs.mapInArrow(_count_grams, read_schema(("near", T.IntegerType()), ("gram", T.LongType()), ("n", T.LongType())))
-    counted = counted.groupBy("near", "gram").agg(F.sum("n").alias("n"))
-    nodes = materialize(counted.groupBy("near").applyInArrow(_subtree, read_schema(*_NODE)), "context-nodes")
-
-    def arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-        got = df.select(*names).toArrow()
-        return [got.column(c).to_numpy() for c in names]
-
-    # two context bytes: 65,536 contexts of 256 decisions at most
-    key, n0, n1, weighted, stop = arrays(nodes.filter("depth = 2"), "key", "n0", "n1", "weighted", "stop")
-    key = key.astype(np.int64).view(np.uint64)
-    keys, ones, stops = [np.uint64(2 << 56) | key], [(n1 + 0.5) / (n0 + n1 + 1)], [stop]
-    if len(key):
-        up, (a, b, below) = _summed(key & np.uint64(0xFF << 9 | 511), n0, n1, weighted)
-        for depth, k, a, b, _, stop in weigh(up, a, b, below, 1, 0):
-            keys.append(np.uint64(depth << 56) | k)
-            ones.append((b + 0.5) / (a + b + 1))
-            stops.append(stop)
-    # below, the most visited nodes: one row for each number of visits in powers of two
-    deep = nodes.filter("depth > 2")
-    bucket = F.floor(F.log2(F.col("n0") + F.col("n1")) * 4).cast("int")
-    left, least = MOST_NODES - sum(map(len, keys)), None
-    for r in sorted(deep.groupBy(bucket.alias("v")).count().collect(), key=lambda r: -r["v"]):
+def gram_scores(docs: DataFrame) -> DataFrame:
+    """gram, m (how often it comes) and value (ln of its probability) for every distinct gram
+    of the texts (doc_id, text), by the context tree of all training texts."""
+    long, double = T.LongType(), T.DoubleType()
+    counted = docs.mapInArrow(_count_grams, read_schema(("near", T.IntegerType()), ("gram", long), ("n", long), ("m", long)))
+    counted = counted.groupBy("near", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = materialize(counted.groupBy("near").applyInArrow(_subtree, read_schema(*_PART)), "context-grams")
+    # one context byte: 256 contexts of 256 decisions at most
+    up = F.col("key").bitwiseAND(F.lit(0xFF << 9 | 511)).alias("up")
+    got = parts.filter("key IS NOT NULL").groupBy(up).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("up").toArrow()
+    key, n0, n1, below = (got.column(c).to_numpy() for c in ("up", "n0", "n1", "weighted"))
+    top = [(d, k, a, b, stop) for d, k, a, b, _, stop in weigh(key.astype(np.int64).view(np.uint64), n0, n1, below, 1, 0)] if len(key) else []
+    value = _valuer(docs.sparkSession.sparkContext.broadcast(top))
+    found = parts.filter("gram IS NOT NULL").select("gram", "m", "odds")
+    return materialize(found.mapInArrow(value, read_schema(("gram", long), ("m", long), ("value", double))), "gram-scores")
+
+
+def frequent(df: DataFrame, count: str, most: int) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the highest counts, `most` at most (None if no bucket of counts fits), and all others."""
+    left, least = most, None
+    bucket = F.floor(F.log2(count) * 8).cast("int")
+    for r in sorted(df.groupBy(bucket.alias("v")).count().collect(), key=lambda r: -r["v"]):
         left -= r["count"]
         if left < 0:
             break
         least = r["v"]
-    if least is not None:
-        depth, key, one, stop = arrays(deep.filter(bucket >= least).withColumn("one", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float")).withColumn("stop", F.col("stop").cast("float")), "depth", "key", "one", "stop")
-        keys.append((depth.astype(np.uint64) << np.uint64(56)) | key.astype(np.int64).view(np.uint64))
-        ones.append(one)
-        stops.append(stop)
-    return Tree(np.concatenate(keys), np.concatenate(ones), np.concatenate(stops))
+    return (None, df) if least is None else (df.filter(bucket >= least), df.filter(bucket < least))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,18 +308,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scorer(model, known):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores of rows; what the frequent words give to their base; the other words."""
-        memory = Memory(model.value)
+        """What the frequent grams give to the scores of rows and the frequent words to their base;
+        the other words and grams."""
+        frequent_grams = Known(*model.value)
         hashes, value, end_value, end_known = known.value
         for batch in batches:
             n = batch.num_rows
             total, base, rest = np.zeros(n), np.zeros(n), [[]] * n
-            tokens, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            tokens, seen, rare, n_rare = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
             buf, at = text_buffer(batch.column(1))
             for i, j, part, off in pieces(buf, at):
                 part = LOWER[part]
                 gram, first = grams(part, off)
-                total[i:j] = np.add.reduceat(memory.log_probability(gram), first[:-1]) / _LN10
+                given, hit = frequent_grams.find(gram)
+                total[i:j] = np.add.reduceat(given, first[:-1])
+                rare.append(gram[~hit])
+                n_rare[i:j] = np.add.reduceat((~hit).astype(np.int64), first[:-1])
                 starts, ends, first = word_spans(part, off)
                 tokens[i:j] = np.diff(first) + 1
                 base[i:j], seen[i:j] = end_value, end_known
@@ -324,9 +341,10 @@ def _scorer(model, known):
                 for k in range(j - i):
                     rest[i + k] = words[cut[k] : cut[k + 1]]
             held = is_held_out(batch.column(0).to_pylist(), FOLDS)
+            others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32)), pa.array(np.concatenate(rare).view(np.int64)))
             yield pa.record_batch(
-                [batch.column(0), pa.array(held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(total), pa.array(rest, pa.list_(pa.string()))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
+                [batch.column(0), pa.array(held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(total), pa.array(rest, pa.list_(pa.string())), others],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "rare"],
             )
 
     return score
@@ -336,7 +354,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    model = context.broadcast(train_tree(docs))
+    values = gram_scores(docs)
+    common, rare_grams = frequent(values, "m", KNOWN_GRAMS)
+    gram, m, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if common is not None:
+        got = common.toArrow()
+        gram, m, value = (got.column(c).to_numpy() for c in ("gram", "m", "value"))
+    model = context.broadcast((gram.astype(np.int64).view(np.uint64), m, value))
     counts = docs.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
     all_tokens, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()
@@ -344,35 +368,30 @@ def score_documents(docs: DataFrame) -> DataFrame:
         distinct = max(0, distinct - 1)
     denominator = all_tokens + 0.1 * (distinct + 1)
     words = counts.filter("word IS NOT NULL")
-    # the frequent words: every count above the least one that keeps them in bounds
-    left, least = KNOWN_WORDS, None
-    bucket = F.floor(F.log2("c") * 8).cast("int")
-    for r in sorted(words.groupBy(bucket.alias("v")).count().collect(), key=lambda r: -r["v"]):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["v"]
     hashes, value = np.zeros(0, np.uint64), np.zeros(0)
-    rare = words
-    if least is not None:
-        got = words.filter(bucket >= least).toArrow()
+    common, rare = frequent(words, "c", KNOWN_WORDS)
+    if common is not None:
+        got = common.toArrow()
         buf, at = text_buffer(got.column("word"))
         hashes = np.concatenate([word_hashes(part, off[:-1], off[1:]) for _, _, part, off in pieces(buf, at)])
         order = np.argsort(hashes)
         hashes, value = hashes[order], np.log10((got.column("c").to_numpy()[order] + 0.1) / denominator)
-        rare = words.filter(bucket < least)
     end_value = float(np.log10((ends + 0.1) / denominator))
     known = context.broadcast((hashes, value, end_value, int(ends > 0)))
     long, double = T.LongType(), T.DoubleType()
-    schema = read_schema(("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", long), ("n_known", long), ("base_score", double), ("score", double), ("rest", T.ArrayType(T.StringType())))
+    schema = read_schema(("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", long), ("n_known", long), ("base_score", double), ("score", double), ("rest", T.ArrayType(T.StringType())), ("rare", T.ArrayType(long)))
     scored = materialize(docs.mapInArrow(_scorer(model, known), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     others = scored.select("row", F.explode("rest").alias("w")).join(rare.select("word", "c"), F.col("w") == F.col("word"), "left")
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(denominator))
-    others = others.groupBy("row").agg(F.sum(logs).alias("b"), F.sum(F.col("c").isNotNull().cast("long")).alias("k")).withColumnRenamed("row", "r")
-    out = scored.drop("rest").join(others, F.col("row") == F.col("r"), "left")
+    others = others.select("row", logs.alias("b"), F.col("c").isNotNull().cast("long").alias("k"), F.lit(0.0).alias("s"))
+    # every gram has a value
+    grams_left = scored.select("row", F.explode("rare").alias("g")).join(rare_grams.select("gram", "value"), F.col("g") == F.col("gram"))
+    others = others.unionAll(grams_left.select("row", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k"), F.col("value").alias("s")))
+    others = others.groupBy("row").agg(*(F.sum(c).alias(c) for c in "bks")).withColumnRenamed("row", "r")
+    out = scored.drop("rest", "rare").join(others, F.col("row") == F.col("r"), "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"), ((F.col("score") + F.coalesce("s", F.lit(0.0))) / F.lit(float(_LN10))).alias("score"),
     )
 
 

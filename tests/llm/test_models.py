@@ -102,6 +102,43 @@ def test_context_tree(spark):
         assert not got[i].held_out
 
 
+def test_context_tree_is_whole_whatever_is_sent_out(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abc é") for _ in range(r.randint(0, 80))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    score = lambda: {x.doc_id: x.score for x in lm_scoring.score_documents(df).collect()}
+    whole = score()
+    sent = []
+    kept, known = lm_scoring.frequent, lm_scoring.KNOWN_GRAMS
+    monkeypatch.setattr(lm_scoring, "frequent", lambda *a: sent.append(kept(*a)) or sent[-1])
+    for most in (0, 40, known):
+        monkeypatch.setattr(lm_scoring, "KNOWN_GRAMS", most)
+        got = score()
+        assert got == {i: pytest.approx(x, rel=1e-9) for i, x in whole.items()}
+        common, rare = sent[-2]  # grams, then words
+        data = [(bytes(lm_scoring.DEPTH) + t.encode()) for t in texts]
+        distinct = {(d[p - 5 : p], d[p : p + 1]) for d in data for p in range(5, len(d) + 1)}
+        assert (common.count() if common else 0) <= most
+        assert (common.count() if common else 0) + rare.count() == len(distinct)
+
+
+def test_subtree_does_not_depend_on_slices(monkeypatch):
+    r = np.random.default_rng(3)
+    buf = r.choice(np.frombuffer(b"abcd", np.uint8), 4000)
+    gram, n = np.unique(lm_scoring.grams(buf, np.array([0, 1500, 4000]))[0], return_counts=True)
+    here = (gram >> np.uint64(9)) & np.uint64(0xFFFF) == np.uint64(ord("a") << 8 | ord("b"))
+    n = np.where(np.arange(len(n)) % 5, n, 0)
+    t = pa.table({"gram": gram[here].view(np.int64), "n": n[here], "m": n[here] + 1})
+    whole = lm_scoring._subtree(t)
+    monkeypatch.setattr(lm_scoring, "SLICE_GRAMS", 1)
+    cut = lm_scoring._subtree(t)
+    assert cut.select(["gram", "m", "key", "n0", "n1"]).equals(whole.select(["gram", "m", "key", "n0", "n1"]))
+    for c, dtype in (("odds", np.float32), ("weighted", float)):
+        a, b = ([x for x in got.column(c).to_pylist() if x is not None] for got in (whole, cut))
+        a, b = (np.frombuffer(b"".join(x), dtype) if c == "odds" else np.array(x) for x in (a, b))
+        assert np.allclose(a, b, rtol=1e-6, equal_nan=True)
+
+
 def test_base_scores(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "KNOWN_WORDS", 2)  # the others are joined
     texts = ["The the a b", "a  c\td", None, "", "zz a"] * 3 + ["long " * 5000]
