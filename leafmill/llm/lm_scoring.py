@@ -40,8 +40,8 @@ DEPTH = 5
 END = 256
 #: Grams and words that are sent to the executors at most; the others are joined.
 KNOWN_GRAMS, KNOWN_WORDS = 2**20, 2**20
-#: A node below two context bytes belongs to the tree from so many visits on.
-LEAST_VISITS = 3
+#: A node belongs to the tree from so many visits on: none is left out.
+LEAST_VISITS = 1
 #: Grams that a task counts before it hands them on; grams of a subtree that are worked out at once.
 HELD_GRAMS, SLICE_GRAMS = 3_000_000, 250_000
 FOLDS = 10
@@ -170,8 +170,7 @@ def _subtree(t: pa.Table) -> pa.Table:
         if not len(train):
             continue
         for depth, key, n0, n1, weighted, stop in weigh(*leaves(gram[train], n[train]), None, DEPTH, 3):
-            keep = n0 + n1 >= LEAST_VISITS
-            mix(odds[i:j], gram[i:j], depth, key[keep], n0[keep], n1[keep], stop[keep])
+            mix(odds[i:j], gram[i:j], depth, key, n0, n1, stop)
         top.append((key, n0, n1, weighted))
     key, n0, n1, weighted = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
     if top:

@@ -102,6 +102,14 @@ def test_context_tree(spark):
         assert not got[i].held_out
 
 
+def test_subtree_keeps_nodes_of_one_visit():
+    gram = np.array([int.from_bytes(c, "big") << 9 | s for c, s in ((b"aaaxy", ord("p")), (b"bbbxy", ord("q")))])
+    t = pa.table({"gram": gram, "n": np.ones(2, np.int64), "m": np.ones(2, np.int64)})
+    odds = np.frombuffer(b"".join(x for x in lm_scoring._subtree(t).column("odds").to_pylist() if x), np.float32).reshape(2, 9)
+    # p and q differ in their last bit: depth two stops with 1/3 and has it even, below each was seen once
+    assert np.allclose(odds[:, 8], 1 / 3 * 1 / 2 + 2 / 3 * 3 / 4)
+
+
 def test_context_tree_is_whole_whatever_is_sent_out(spark, monkeypatch):
     r = random.Random(5)
     texts = ["".join(r.choice("abc é") for _ in range(r.randint(0, 80))) for _ in range(60)]
