@@ -16,7 +16,8 @@ grows with the logarithm of a component's size.
 Defined results: null and empty text have fingerprint zero, linked like any other;
 repeated rows share a fingerprint and a component; a null doc_id gets its component but
 names none (null where all ids are null); an empty table gives an empty result; further
-columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
+columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`, which keeps one
+row of each component: the smallest doc_id, nulls last, and of its texts the least MD5.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def simhash(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array(simhash(batch.column(1)).view(np.int64))], ["doc_id", "fp"])
+        names = batch.schema.names
+        yield pa.record_batch([batch.column(0), pa.array(simhash(batch.column(1)).view(np.int64)), *batch.columns[2:]], [names[0], "fp", *names[2:]])
 
 
 def variants(fp: DataFrame) -> DataFrame:
@@ -129,16 +131,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(prints: DataFrame, rep: Column) -> DataFrame:
+    """Every distinct fp with the least rep of its rows and the root of its component."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min(rep).alias("rep")), "nodes")
+    found = components(links(nodes.select("fp")))
+    # root links to itself too, so that a component's ids can be summed up
+    member = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
+    return nodes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row."""
     long = T.LongType()
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint, read_schema(("doc_id", long), ("fp", long)))
     prints = materialize(prints, "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes.select("fp")))
-    # root links to itself too, so that a component's ids can be summed up
-    member = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
-    rooted = nodes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.col("doc_id"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_print = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
@@ -149,13 +156,19 @@ def as_hex(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row for each."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    stay = materialize(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
-    # only an id that comes twice can leave two rows
-    twice = kept.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
-    return kept.dropDuplicates(["doc_id"]) if not twice.isEmpty() else kept
+    """One row of docs for each component, by id (nulls last) and text."""
+    long = T.LongType()
+    own, tie = F.col("doc_id").cast("long"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    prints = docs.select(own.alias("doc_id"), "text", tie.alias("tie")).mapInArrow(_fingerprint, read_schema(("doc_id", long), ("fp", long), ("tie", T.StringType())))
+    prints = materialize(prints, "fingerprints")
+    rooted = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    stay = materialize(rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_stay"), F.col("rep.tie").alias("_stay_tie")), "stay")
+    kept = docs.withColumn("_tie", tie).join(stay, own.eqNullSafe(F.col("_stay")) & (F.col("_tie") == F.col("_stay_tie")), "left_semi")
+    # only rows that agree in id and text can be two of a component
+    twice = kept.groupBy(own.alias("_id"), "_tie").count().filter("count > 1")
+    if not twice.isEmpty():
+        kept = kept.withColumn("_id", own).dropDuplicates(["_id", "_tie"]).drop("_id")
+    return kept.drop("_tie")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,14 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert len(ids) == len(set(ids)) and set(ids) == want - {None}
 
 
+def test_near_dedup_keeps_a_row_of_groups_without_ids(spark):
+    r = random.Random(12)
+    alone, twice, shared, other, same = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(5))
+    pairs = [(None, alone), (None, twice), (None, twice), (1, shared), (None, shared), (2, shared), (2, other), (3, same), (3, same), (None, None), (None, "")]
+    kept = [(x.doc_id, x.text or "") for x in simhash.drop_near_duplicates(docs_of(spark, pairs)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, alone), (None, twice), (1, shared), (2, other), (3, same), (None, "")], key=str)
+
+
 def removed(pairs):
     owner = {}
     for i, t in pairs:
