@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_EPOCHS = 1.5, 2
 #: The key space has 2**12 slices. A slice of one source holds 1/4096 of its rows.
 SLICE_BITS = 12
+#: The row key by which mix_rows finds a document again.
+ROW = "_mix_row"
 
 
 def n_words(text: Column) -> Column:
@@ -64,7 +66,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE
 def sized_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and what orders documents at random: key, tie."""
     tie = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie.alias("_tie"))
+    row = [c for c in docs.columns if c == ROW]
+    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie.alias("_tie"), *row)
 
 
 def mix_plan(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -80,7 +83,8 @@ def mix_plan(docs: DataFrame, seed: int = 17) -> DataFrame:
     by_source = W.partitionBy("source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_above", F.coalesce(F.sum("_cell").over(by_source), F.lit(0)))
     cells = cells.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select(F.col("c.source").alias("_s"), F.col("c._slice").alias("_k"), "_above", "source_size", "target")
-    inside = W.partitionBy("source", "_slice").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    row = [c for c in sized.columns if c == ROW]
+    inside = W.partitionBy("source", "_slice").orderBy("_key", "doc_id", "_tie", *row).rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(cells, F.expr("source <=> _s AND _slice = _k")).withColumn("_before", F.col("_above") + F.col("_in"))
     budget = F.round("target").cast("long")
@@ -101,10 +105,10 @@ def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of docs that the mix takes, with size, epochs (whole passes over the text)
     and taken: the last pass ends after taken - epochs * size words of it. Columns of docs
     with these names give way."""
-    plan = mix_plan(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_tied"), "size", "epochs", "taken")
-    plan = plan.dropDuplicates(["_id", "_tied"])  # rows that agree in id and text share a decision
-    rows = docs.drop("size", "epochs", "taken").withColumn("_tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    return rows.join(plan, F.expr("doc_id <=> _id AND _tie = _tied")).drop("_id", "_tied", "_tie")
+    # repeated rows are told apart by a key that is written down
+    rows = materialize(docs.drop("size", "epochs", "taken").withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_plan(rows, seed).filter("taken > 0").select(F.col(ROW).alias("_planned"), "size", "epochs", "taken")
+    return rows.join(plan, F.col(ROW) == F.col("_planned")).drop(ROW, "_planned")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

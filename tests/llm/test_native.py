@@ -106,6 +106,13 @@ def test_mixing(spark):
     assert mixing.mix_plan(df.limit(0)).count() == 0
 
 
+def test_mix_rows_of_repeated_rows(spark):
+    data = [(7, "one two three", "a")] * 9 + [(None, "x y", s) for s in ("a", "b", "c") for _ in range(5)] + [(i, "w " * i, "b") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    total = lambda rows: Counter((r.source, r.taken) for r in rows if r.taken)
+    assert total(mixing.mix_rows(df).collect()) == total(mixing.mix_plan(df).collect())
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_pipeline(spark):
     """Each stage on what its predecessor kept, and the stages' decisions against brute force."""
