@@ -163,5 +163,46 @@ def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mixed(out)
 
 
+#: Most bits of a bitmap: 128 MB. A full one lets more through, and is never wrong.
+MOST_BITS = 30
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash (a column h), in 8 kB pages built by the executors; 2**30 bits at most."""
+    n = hashes.count()
+    bits = min(MOST_BITS, max(16, (16 * max(n, 1) - 1).bit_length()))
+    page = F.shiftright("h", 16).bitwiseAND(F.lit(2 ** (bits - 16) - 1))
+
+    def build(t: pa.Table) -> pa.Table:
+        out = np.zeros(8192, np.uint8)
+        low = t.column("low").to_numpy()
+        np.bitwise_or.at(out, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        return pa.table({"page": t.column("page").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    paged = hashes.select(page.cast("long").alias("page"), F.col("h").bitwiseAND(F.lit(0xFFFF)).cast("long").alias("low")).distinct()
+    got = paged.groupBy("page").applyInArrow(build, read_schema(("page", T.LongType()), ("bits", T.BinaryType()))).toArrow()
+    out = np.zeros((2 ** (bits - 16), 8192), np.uint8)
+    for p, b in zip(got.column("page").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[p] = np.frombuffer(b, np.uint8)
+    return out.reshape(-1)
+
+
+def may_contain(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for hashes that surely are not in the bitmap."""
+    low = hashes & np.uint64(len(bits) * 8 - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def in_bitmap(shared):
+    """may_contain as a function of a long column, by a bitmap that was sent out. Only the hashes
+    go through Python, whatever else a row has."""
+
+    @F.arrow_udf("boolean")
+    def sent(h: pa.Array) -> pa.Array:
+        return pa.array(may_contain(shared.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return sent
+
+
 def read_schema(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in cols])

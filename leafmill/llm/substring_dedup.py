@@ -11,10 +11,13 @@
    passage meet as far as the size allows, and each shard's distinct windows are confirmed by
    96 bits of hashes: a window recurs if it starts in two documents, and its owner is
    the smallest of them.
-3. A shard's confirmed windows are compiled into Aho-Corasick automata over word numbers,
-   and the segments of all documents are streamed through them, which locates every occurrence,
-   word by word. An occurrence in a document with a larger id than the owner's is removed.
-   Words outside of segments cannot be part of one.
+3. A shard's confirmed windows are handed over as places of words there. Consecutive ones are a
+   passage, of which blocks of seven words are compiled into Aho-Corasick automata over word
+   numbers: one block in each window at least, the rarest of its blocks, so that a common phrase does not
+   stand for many passages. The segments of all documents are streamed through them, and each block that is
+   found is extended word by word to the confirmed windows around it, which locates every occurrence.
+   An occurrence in a document with a larger id than the owner's is removed. Words outside of segments
+   cannot be part of one.
 
 No step collects a group: a passage that a third of all documents share costs each
 shard one pattern.
@@ -35,16 +38,16 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import gram_hashes, materialize, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
+from ._shared import bitmap, gram_hashes, materialize, may_contain, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
 
-WINDOW, GRAM = 13, 5
-MOST_BITS = 30
-#: Bytes of text in a shard; patterns in one automaton.
-SHARD_BYTES, PATTERNS = 4_000_000, 100_000
+WINDOW, GRAM, BLOCK = 13, 5, 7
+#: Bytes of text in a shard; phrases in one automaton; found phrases looked at together.
+SHARD_BYTES, PATTERNS, HITS = 4_000_000, 50_000, 50_000
+#: A block of words stands for confirmed windows if it comes in fewer places of them than this.
+MOST_PLACES = 32
 
 
 def _minimizers(words: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,31 +100,6 @@ def recurring(docs: DataFrame) -> DataFrame:
     return seen.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("h")
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash, in 8 kB pages built by the executors; 2**30 bits at most."""
-    n = hashes.count()
-    bits = min(MOST_BITS, max(16, (16 * max(n, 1) - 1).bit_length()))
-    page = F.shiftright("h", 16).bitwiseAND(F.lit(2 ** (bits - 16) - 1))
-
-    def build(t: pa.Table) -> pa.Table:
-        out = np.zeros(8192, np.uint8)
-        low = t.column("low").to_numpy()
-        np.bitwise_or.at(out, low >> 3, (1 << (low & 7)).astype(np.uint8))
-        return pa.table({"page": t.column("page").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    paged = hashes.select(page.cast("long").alias("page"), F.col("h").bitwiseAND(F.lit(0xFFFF)).cast("long").alias("low"))
-    got = paged.groupBy("page").applyInArrow(build, read_schema(("page", T.LongType()), ("bits", T.BinaryType()))).toArrow()
-    out = np.zeros((2 ** (bits - 16), 8192), np.uint8)
-    for p, b in zip(got.column("page").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        out[p] = np.frombuffer(b, np.uint8)
-    return out.reshape(-1)
-
-
-def _may_recur(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    low = grams & np.uint64(len(bits) * 8 - 1)
-    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
-
-
 def _segmenter(shared):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text, h) -> runs of windows that may recur: doc_id, h, the run's first word,
@@ -131,7 +109,7 @@ def _segmenter(shared):
             ids, h = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for i, _, part, starts, ends, first, words, row_of in _scanned(batch.column(1)):
                 grams, windows, at = _minimizers(words, row_of)
-                again = np.flatnonzero(_may_recur(bits, grams[at]))
+                again = np.flatnonzero(may_contain(bits, grams[at]))
                 if not len(again):
                     continue
                 w, m = windows[again], grams[at[again]]
@@ -145,23 +123,36 @@ def _segmenter(shared):
     return cut
 
 
+def _ordered(t: pa.Table) -> pa.Table:
+    """A shard's segments in one order, whatever order they arrive in: a word's number in it is
+    its place."""
+    return t.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("at", "ascending")]).combine_chunks()
+
+
 def _windows(t: pa.Table) -> pa.Table:
-    """The distinct windows of a shard's segments, with their least and largest doc_id."""
-    ids = t.column("doc_id").to_numpy()
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    """The distinct windows of a shard's segments: place of the first, its doc_id (the least), and
+    whether another document of the shard has it."""
+    t = _ordered(t)
+    ids, base = t.column("doc_id").to_numpy(), 0
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for i, _, part, starts, ends, first, words, row_of in _scanned(t.column("text").combine_chunks()):
         n = len(words) - WINDOW + 1
         if n > 0:
             own = np.flatnonzero(row_of[:n] == row_of[WINDOW - 1 :])
             a, b = _window_hashes(part, starts, ends, words)
-            found.append((a[own], b[own], ids[i + row_of[own]]))
-    a, b, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
+            found.append((a[own], b[own], ids[i + row_of[own]], base + own))
+        base += len(words)
+    a, b, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, a))  # stable: equal windows stay in the order of doc_id and place
+    a, b = a[order], b[order]
     cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
     last = np.append(cut[1:], len(a))[: len(cut)] - 1
+    many = doc[order[cut]] < doc[order[last]]
+    text_order = np.argsort(place[order[cut]])
+    cut, many = cut[text_order], many[text_order]
     shard = np.full(len(cut), t.column("shard")[0].as_py(), np.int64)
-    return pa.table({"shard": pa.array(shard), "a": _signed(a[cut]), "b": pa.array(b[cut].view(np.int32)), "least": pa.array(doc[cut]), "most": pa.array(doc[last])})
+    first = order[cut]
+    return pa.table({"shard": pa.array(shard), "place": pa.array(place[first].astype(np.int32)), "a": _signed(a[cut]), "b": pa.array(b[cut].view(np.int32)), "least": pa.array(doc[first]), "many": pa.array(many)})
 
 
 def _window_hashes(part, starts, ends, words) -> tuple[np.ndarray, np.ndarray]:
@@ -170,67 +161,112 @@ def _window_hashes(part, starts, ends, words) -> tuple[np.ndarray, np.ndarray]:
     return gram_hashes(words, WINDOW), (second >> np.uint64(32)).astype(np.uint32)
 
 
-def _points(numbers: np.ndarray) -> str:
-    """One character for each number, jumping over the surrogates."""
-    p = (numbers + 1).astype(np.uint32)
-    p[p >= 0xD800] += 0x800
-    return p.tobytes().decode("utf-32-le")
-
-
-def covered_words(ids: np.ndarray, col: pa.Array, a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stream texts through automata of the confirmed windows given by their hashes and
-    owners. Returns bytes, word starts and ends, first word of each row, covered words."""
-    buf, at = text_buffer(col)
-    starts, ends, first = word_spans(buf, at)
-    covered = np.zeros(len(starts), bool)
-    n = len(starts) - WINDOW + 1
-    if n <= 0 or not len(a):
-        return buf, starts, ends, first, covered
-    order = np.argsort(a, kind="stable")
-    a, b, owner = a[order], b[order], owner[order]
+def _encoded(numbers: np.ndarray) -> str:
+    """Two characters for each word, of two alphabets: no phrase can be found between words, and
+    no state of an automaton has more branches than the root of the vocabulary."""
+    base = int(np.sqrt(numbers.max(initial=0) + 1)) + 1
+    out = np.empty(2 * len(numbers), np.uint32)
+    out[::2], out[1::2] = numbers // base + 1, numbers % base + base + 2
+    return out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _phrases(numbers: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands for the windows at some places: blocks of seven words, one in each window at
+    least and the rarest of its blocks, so that a common phrase stands for few; and the
+    windows whose rarest block is common all the same, which stand for themselves."""
+    block = gram_hashes(numbers.astype(np.uint64), BLOCK)
+    inside = WINDOW - BLOCK + 1
+    used = np.zeros(len(block), bool)
+    for o in range(inside):
+        used[place + o] = True
+    used = np.flatnonzero(used)
+    _, which, many = np.unique(block[used], return_inverse=True, return_counts=True)
+    cost = np.zeros(len(block), np.int32)
+    cost[used] = many[which] * 2 + (used % inside != 0)  # of equals, the one on the grid
+    best, at = cost[place], place.copy()
+    for o in range(1, inside):
+        here = cost[place + o]
+        less = here < best
+        best[less], at[less] = here[less], place[less] + o
+    common = best >= 2 * MOST_PLACES
+    return np.unique(at[~common]), place[common]
+
+
+def matched_windows(numbers: np.ndarray, first: np.ndarray, ids: np.ndarray, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Stream rows of words (as numbers) through automata of the phrases of confirmed windows,
+    given by their places and owners. True where a window starts that is equal to one of them
+    and whose row's id is larger than its owner."""
+    n = len(numbers)
+    matched = np.zeros(n, bool)
+    if not len(place):
+        return matched
     row_of = np.repeat(np.arange(len(ids)), np.diff(first))
-    ha, hb = _window_hashes(buf, starts, ends, word_hashes(buf, starts, ends))
-    place = np.minimum(np.searchsorted(a, ha), len(a) - 1)
-    hit = np.flatnonzero((a[place] == ha) & (row_of[:n] == row_of[WINDOW - 1 :]))
-    if not len(hit):
-        return buf, starts, ends, first, covered
-    hit = hit[b[place[hit]] == hb[hit]]
-    # the words of each confirmed window, from its first place in this shard
-    known, where = np.unique(place[hit], return_index=True)
-    phrase_at = hit[where]
-    numbers = words_array(buf, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
-    for k in range(0, len(known), PATTERNS):
-        mine = phrase_at[k : k + PATTERNS]
-        vocabulary, inverse = np.unique(numbers[(mine[:, None] + np.arange(WINDOW)).ravel()], return_inverse=True)
-        phrases = _points(inverse + 1)
+    owner_at = np.full(n + WINDOW, np.iinfo(np.int64).max)  # of words where no confirmed window begins
+    owner_at[place] = owner
+    text = _encoded(numbers)
+    blocks, whole = _phrases(numbers, place)
+    at, size = np.concatenate([blocks, whole]), np.repeat([BLOCK, WINDOW], [len(blocks), len(whole)])
+    known: dict[str, int] = {}
+    which = np.array([known.setdefault(text[2 * p : 2 * (p + z)], len(known)) for p, z in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
+    order = np.argsort(which, kind="stable")
+    places, many = at[order], np.bincount(which, minlength=len(known))
+    begin, size = np.append(0, np.cumsum(many)), size[order]
+    phrases, cuts = list(known), (2 * first).tolist()
+    for k in range(0, len(phrases), PATTERNS):
         automaton = ahocorasick.Automaton()
-        for x, o in enumerate(owner[known[k : k + PATTERNS]].tolist()):
-            automaton.add_word(phrases[x * WINDOW : (x + 1) * WINDOW], o)
+        for x, phrase in enumerate(phrases[k : k + PATTERNS], k):
+            automaton.add_word(phrase, x)
         automaton.make_automaton()
-        local = np.zeros(int(numbers.max()) + 1, np.int64)  # 0: in no phrase
-        local[vocabulary] = np.arange(1, len(vocabulary) + 1)
-        for r, doc in enumerate(ids.tolist()):
-            lo, hi = int(first[r]), int(first[r + 1])
-            if hi - lo < WINDOW:
-                continue
-            found = [e for e, o in automaton.iter(_points(local[numbers[lo:hi]])) if o < doc]
-            if found:
-                change = np.zeros(hi - lo + 1, np.int64)
-                found = np.array(found)
-                np.add.at(change, found - WINDOW + 1, 1)
-                np.add.at(change, found + 1, -1)
-                covered[lo:hi] |= np.cumsum(change[:-1]) > 0
-    return buf, starts, ends, first, covered
+        hits: list[tuple[int, int]] = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo >= 2 * WINDOW:
+                hits += [((lo + e) // 2, x) for e, x in automaton.iter(text[lo:hi])]
+            if len(hits) >= HITS or hi == cuts[-1]:
+                if hits:
+                    end, x = np.array(hits, np.int64).T
+                    _extend(matched, numbers, row_of, ids, owner_at, end, x, begin, places, size)
+                hits = []
+    return matched
+
+
+def _extend(matched, numbers, row_of, ids, owner_at, end, which, begin, places, size) -> None:
+    """From the last words of found phrases to the confirmed windows around them, word by word."""
+    n, many = len(numbers), begin[which + 1] - begin[which]
+    entry = np.repeat(begin[which] - np.append(0, np.cumsum(many))[:-1], many) + np.arange(many.sum())
+    q, z = places[entry], size[entry]
+    t = np.repeat(end, many) - z + 1
+    room = WINDOW - BLOCK
+    left, right = np.zeros(len(t), np.int64), np.where(z == WINDOW, room, 0)
+    open_ = z == BLOCK
+    go = open_.copy()
+    for k in range(1, room + 1):
+        go = go & (t >= k) & (q >= k)
+        go &= numbers[t - k * go] == numbers[q - k * go]
+        left += go
+    go = open_
+    for k in range(BLOCK, WINDOW):
+        go = go & (t + k < n) & (q + k < n)
+        go &= numbers[t + k * go] == numbers[q + k * go]
+        right += go
+    for s in range(-room, 1):
+        m = np.flatnonzero((left >= -s) & (right >= s + room))
+        w = t[m] + s
+        fits = (row_of[w] == row_of[w + WINDOW - 1]) & (owner_at[q[m] + s] < ids[row_of[w]])
+        matched[w[fits]] = True
 
 
 def _locate(segments: pa.Table, phrases: pa.Table) -> pa.Table:
     """The segments of a shard and its confirmed windows -> runs of words to remove."""
+    segments = _ordered(segments)
     ids = segments.column("doc_id").to_numpy()
-    a = phrases.column("a").to_numpy().astype(np.int64).view(np.uint64)
-    b = phrases.column("b").to_numpy().astype(np.int32).view(np.uint32)
-    _, _, _, first, covered = covered_words(ids, segments.column("text").combine_chunks(), a, b, phrases.column("owner").to_numpy())
+    buf, at = text_buffer(segments.column("text").combine_chunks())
+    starts, ends, first = word_spans(buf, at)
+    numbers = words_array(buf, starts, ends).dictionary_encode().indices.to_numpy()
+    place = phrases.column("place").to_numpy().astype(np.int64)
+    total = np.cumsum(matched_windows(numbers, first, ids, place, phrases.column("owner").to_numpy()))
+    total[WINDOW:] -= total[:-WINDOW].copy()
+    on = np.flatnonzero(total)
     row_of = np.repeat(np.arange(len(ids)), np.diff(first))
-    on = np.flatnonzero(covered)
     new = np.append(True, (on[1:] != on[:-1] + 1) | (row_of[on[1:]] != row_of[on[:-1]]))[: len(on)]
     begin = np.flatnonzero(new)
     lo, hi = on[begin], on[np.append(begin[1:], len(on))[: len(begin)] - 1] + 1
@@ -255,10 +291,11 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     parts = large.select(F.col("slice").alias("_slice"), F.ceil(F.col("size") / SHARD_BYTES).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")), F.lit(0))
     dealt = sliced.join(parts, F.col("slice") == F.col("_slice"), "left").withColumn("shard", (part * 2**bits + F.col("slice")).cast("long")).select("doc_id", "h", "at", "text", "shard")
-    windows = read_schema(("shard", long), ("a", long), ("b", T.IntegerType()), ("least", long), ("most", long))
+    windows = read_schema(("shard", long), ("place", T.IntegerType()), ("a", long), ("b", T.IntegerType()), ("least", long), ("many", T.BooleanType()))
     seen = dealt.groupBy("shard").applyInArrow(_windows, windows)
-    same = W.partitionBy("a", "b")  # one row a shard at most
-    phrases = seen.select("shard", "a", "b", F.min("least").over(same).alias("owner"), F.max("most").over(same).alias("last")).filter("owner < last").drop("last")
+    # a window that every shard has is summed up before it is shuffled, and the join can be split
+    owned = seen.groupBy("a", "b").agg(F.min("least").alias("owner"), F.max("least").alias("last"), F.bool_or("many").alias("many")).filter("many OR owner < last").select("a", "b", "owner")
+    phrases = seen.select("shard", "place", "a", "b").join(owned, ["a", "b"]).select("shard", "place", "owner")
     found = dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate, read_schema(("doc_id", long), ("h", long), ("lo", long), ("hi", long)))
     # repeated rows have equal spans
     return materialize(found.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
@@ -288,7 +325,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            send = _may_recur(bits, batch.column(3).to_numpy().view(np.uint64))
+            send = may_contain(bits, batch.column(3).to_numpy().view(np.uint64))
             texts, n, sha = [], [], []
             for t, s in zip(batch.column(1), send.tolist(), strict=True):
                 t = t.as_py() or ""
