@@ -24,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only if it is unset."""
+    """The folder named by spark.checkpoint.dir; a local one only if it is unset and Spark is
+    local as well."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='leafmill-checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
