@@ -8,17 +8,20 @@ the product of its children half and half, which gives the posterior weight with
 a prediction stops at a depth. A text's code length is the sum over its symbols.
 
 Distinct grams of all texts are counted in every task, then in one aggregation, with
-how often they come in training texts. Subtrees from two context bytes on are independent: each is
-worked out where its grams meet, and scores all of these grams there. The nodes of one context
-byte and none (65,792 at most) finish the scores, one for each distinct gram. So the tree is
-nowhere in one place, and no node is left out of it; a prediction stops at the
-deepest node that training has seen.
+how often they come in training texts. Subtrees from three context bytes on are independent: grams
+are sorted by these bytes and streamed, a subtree is worked out where its grams meet, and gives all
+of them what depths of three and more make of their decisions. However large the corpus, it has
+256 * 256 contexts at most. Nodes of depth two are summed up from those below, and grams meet
+theirs in a second stream; the nodes of one context byte and none (65,792 at most) are sent there and finish the
+scores, one for each distinct gram. So the tree is nowhere in one place, and no node is left out of
+it; a prediction stops at the deepest node that training has seen.
 
 Texts need the score of every gram and the count of every word. The most frequent ones, KNOWN_GRAMS and
 KNOWN_WORDS at most, are sent out; all others are joined, which no frequent one can skew.
 
 Defined results: null and empty text have one token, the end; rows are scored one by one, so repeated
 rows count as often as they come, in training too; a null doc_id is hashed as an empty string;
+a text begins behind DEPTH zero bytes, the same context as zero bytes in a text;
 no training text gives even odds for every decision; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -40,10 +43,11 @@ DEPTH = 5
 END = 256
 #: Grams and words that are sent to the executors at most; the others are joined.
 KNOWN_GRAMS, KNOWN_WORDS = 2**20, 2**20
-#: A node belongs to the tree from so many visits on: none is left out.
-LEAST_VISITS = 1
-#: Grams that a task counts before it hands them on; grams of a subtree that are worked out at once.
-HELD_GRAMS, SLICE_GRAMS = 3_000_000, 250_000
+#: Grams that a task counts before it hands them on; grams of subtrees that are worked out together; bytes
+#: of text that are scored together. They bound a worker's memory and change no result.
+HELD_GRAMS, SLICE_GRAMS, PIECE_BYTES = 1_200_000, 60_000, 400_000
+#: Parts of a two-byte context whose grams are finished in different tasks.
+SALTS = 4
 FOLDS = 10
 _LN10 = np.log(10.0)
 
@@ -147,63 +151,88 @@ def mix(odds: np.ndarray, gram: np.ndarray, depth: int, key: np.ndarray, n0: np.
         odds[which, k] = np.where(np.isnan(deeper), own, stop[at] * own + (1 - stop[at]) * deeper)
 
 
-#: A gram, how often it comes and what depth two and below make of its decisions; or a node of depth two.
+#: A gram, how often it comes and what depths of three and more make of its decisions; or a node of depth three.
 _PART = (("gram", T.LongType()), ("m", T.LongType()), ("odds", T.BinaryType()), ("key", T.LongType()), ("n0", T.DoubleType()), ("n1", T.DoubleType()), ("weighted", T.DoubleType()))
+_NODE = (("key", T.LongType()), ("n0", T.DoubleType()), ("n1", T.DoubleType()), ("weighted", T.DoubleType()), ("stop", T.DoubleType()))
+_WIDTH = 9 * 4
 
 
-def _subtree(t: pa.Table) -> pa.Table:
-    """Grams of one two-byte context -> the same with their odds, and its nodes of depth two."""
-    gram, n, m = (t.column(c).to_numpy() for c in ("gram", "n", "m"))
-    gram = gram.astype(np.int64).view(np.uint64)
-    third = gram >> np.uint64(25) & np.uint64(0xFF)
-    order = np.lexsort((gram, third))
-    gram, n, m, third = gram[order], n[order].astype(float), m[order], third[order]
+def _unsigned(col: pa.Array) -> np.ndarray:
+    return col.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _subtree(gram: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """Grams of whole three-byte contexts -> the same with their odds, and the nodes of depth three."""
     odds = np.full((len(gram), 9), np.nan)
-    # subtrees of a third byte are independent as well
-    cuts = [0]
-    for end in [*(np.flatnonzero(third[1:] != third[:-1]) + 1).tolist(), len(gram)]:
-        if end - cuts[-1] >= SLICE_GRAMS or end == len(gram):
-            cuts.append(end)
-    top = []
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        train = np.flatnonzero(n[i:j]) + i
-        if not len(train):
-            continue
-        for depth, key, n0, n1, weighted, stop in weigh(*leaves(gram[train], n[train]), None, DEPTH, 3):
-            mix(odds[i:j], gram[i:j], depth, key, n0, n1, stop)
-        top.append((key, n0, n1, weighted))
     key, n0, n1, weighted = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
-    if top:
-        key, *values = (np.concatenate(x) for x in zip(*top, strict=True))
-        key, (n0, n1, below) = _summed(key & np.uint64(0xFFFF << 9 | 511), *values)
-        _, _, _, _, weighted, stop = next(weigh(key, n0, n1, below, 2, 2))
-        mix(odds, gram, 2, key, n0, n1, stop)
-    width = 9 * 4
-    packed = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, width * len(gram) + 1, width, dtype=np.int32)), pa.py_buffer(odds.astype(np.float32).tobytes())])
+    train = np.flatnonzero(n)
+    if len(train):
+        for depth, key, n0, n1, weighted, stop in weigh(*leaves(gram[train], n[train].astype(float)), None, DEPTH, 3):
+            mix(odds, gram, depth, key, n0, n1, stop)
+    packed = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, _WIDTH * len(gram) + 1, _WIDTH, dtype=np.int32)), pa.py_buffer(odds.astype(np.float32).tobytes())])
     long, double = pa.int64(), pa.float64()
     columns = [
-        (pa.array(gram.view(np.int64)), pa.nulls(len(key), long)), (pa.array(m.astype(np.int64)), pa.nulls(len(key), long)), (packed, pa.nulls(len(key), pa.binary())),
+        (pa.array(gram.view(np.int64)), pa.nulls(len(key), long)), (pa.array(m), pa.nulls(len(key), long)), (packed, pa.nulls(len(key), pa.binary())),
         (pa.nulls(len(gram), long), pa.array(key.view(np.int64))), *((pa.nulls(len(gram), double), pa.array(x)) for x in (n0, n1, weighted)),
     ]
-    return pa.table({name: pa.concat_arrays(x) for (name, _), x in zip(_PART, columns, strict=True)})
+    return pa.record_batch([pa.concat_arrays(x) for x in columns], [name for name, _ in _PART])
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(near, gram, n, m) sorted by near, the three nearest context bytes; see _subtree."""
+    held: list[tuple] = []
+    size, most = 0, SLICE_GRAMS
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), _unsigned(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()))
+        size += batch.num_rows
+        if size >= most:
+            near, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = int(np.searchsorted(near, near[-1]))  # the last context may go on
+            if whole:
+                yield _subtree(*(x[:whole] for x in rest))
+            held = [(near[whole:], *(x[whole:] for x in rest))]
+            size = len(near) - whole
+            most = max(SLICE_GRAMS, 2 * size)
+    if size:
+        yield _subtree(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth two with the sums of those below -> with their own weights."""
+    for batch in batches:
+        if batch.num_rows:
+            _, _, _, _, weighted, stop = next(weigh(_unsigned(batch.column(0)), *(batch.column(k).to_numpy() for k in (1, 2, 3)), 2, 2))
+            yield pa.record_batch([*batch.columns[:3], pa.array(weighted), pa.array(stop)], [name for name, _ in _NODE])
 
 
 def _valuer(top):
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """ln of the mixed probability of each gram's symbol behind its context."""
+        """ln of the mixed probability of each gram's symbol behind its context. Rows are sorted by
+        the two nearest bytes, nodes of depth two before the grams."""
+        nodes = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, packed = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(2)
-            at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :]
-            odds = np.frombuffer(packed.buffers()[2], np.float32, 9 * len(gram), int(at[0])).astype(float).reshape(-1, 9)
-            for level in top.value:
-                mix(odds, gram, *level)
-            total = np.zeros(len(gram))
-            for k, (which, _, _) in enumerate(decisions(gram)):
-                p = odds[which, k]
-                total[which] += np.log(np.where(np.isnan(p), 0.5, p))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], ["gram", "m", "value"])
+            new = batch.filter(batch.column("key").is_valid())
+            if new.num_rows:
+                nodes = tuple(np.concatenate(x) for x in zip(nodes, (_unsigned(new.column("key")), *(new.column(c).to_numpy() for c in ("n0", "n1", "stop"))), strict=True))
+                nodes = tuple(x[np.unique(nodes[0], return_index=True)[1]] for x in nodes)
+            found = batch.filter(batch.column("gram").is_valid())
+            if found.num_rows:
+                gram, packed = _unsigned(found.column("gram")), found.column("odds")
+                at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :]
+                odds = np.frombuffer(packed.buffers()[2], np.float32, 9 * len(gram), int(at[0])).astype(float).reshape(-1, 9)
+                mix(odds, gram, 2, *nodes)
+                for level in top.value:
+                    mix(odds, gram, *level)
+                total = np.zeros(len(gram))
+                for k, (which, _, _) in enumerate(decisions(gram)):
+                    p = odds[which, k]
+                    total[which] += np.log(np.where(np.isnan(p), 0.5, p))
+                yield pa.record_batch([found.column("gram"), found.column("m"), pa.array(total)], ["gram", "m", "value"])
+            # the last context may go on
+            keep = (nodes[0] >> np.uint64(9)) == np.uint64(batch.column("part")[batch.num_rows - 1].as_py() // SALTS)
+            nodes = tuple(x[keep] for x in nodes)
 
     return value
 
@@ -242,13 +271,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return gram, *(c.astype(np.int64) for c in counts)
 
     def told(gram: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array((gram >> np.uint64(9) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(m)], ["near", "gram", "n", "m"])
+        return pa.record_batch([pa.array((gram >> np.uint64(9) & np.uint64(0xFFFFFF)).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(m)], ["near", "gram", "n", "m"])
 
     for batch in batches:
         train = ~is_held_out(batch.column(0).to_pylist(), FOLDS)
         for rows, counts in ((train, 1), (~train, 0)):
             buf, at = text_buffer(batch.column(1).filter(pa.array(rows)))
-            for _, _, part, off in pieces(buf, at):
+            for _, _, part, off in pieces(buf, at, PIECE_BYTES):
                 gram, m = np.unique(grams(LOWER[part], off)[0], return_counts=True)
                 held.append((gram, counts * m, m))
                 size += len(gram)
@@ -267,16 +296,27 @@ def gram_scores(docs: DataFrame) -> DataFrame:
     of the texts (doc_id, text), by the context tree of all training texts."""
     long, double = T.LongType(), T.DoubleType()
     counted = docs.mapInArrow(_count_grams, read_schema(("near", T.IntegerType()), ("gram", long), ("n", long), ("m", long)))
-    counted = counted.groupBy("near", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    parts = materialize(counted.groupBy("near").applyInArrow(_subtree, read_schema(*_PART)), "context-grams")
+    counted = counted.repartition("near").groupBy("near", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).sortWithinPartitions("near")
+    parts = materialize(counted.mapInArrow(_subtrees, read_schema(*_PART)), "context-grams")
+
+    def above(nodes: DataFrame, context: int) -> DataFrame:
+        up = F.col("key").bitwiseAND(F.lit(context << 9 | 511)).alias("key")
+        return nodes.groupBy(up).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted")))
+
+    two = materialize(above(parts.filter("key IS NOT NULL"), 0xFFFF).mapInArrow(_weighed, read_schema(*_NODE)), "context-nodes")
     # one context byte: 256 contexts of 256 decisions at most
-    up = F.col("key").bitwiseAND(F.lit(0xFF << 9 | 511)).alias("up")
-    got = parts.filter("key IS NOT NULL").groupBy(up).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("up").toArrow()
-    key, n0, n1, below = (got.column(c).to_numpy() for c in ("up", "n0", "n1", "weighted"))
+    got = above(two, 0xFF).orderBy("key").toArrow()
+    key, n0, n1, below = (got.column(c).to_numpy() for c in ("key", "n0", "n1", "weighted"))
     top = [(d, k, a, b, stop) for d, k, a, b, _, stop in weigh(key.astype(np.int64).view(np.uint64), n0, n1, below, 1, 0)] if len(key) else []
     value = _valuer(docs.sparkSession.sparkContext.broadcast(top))
-    found = parts.filter("gram IS NOT NULL").select("gram", "m", "odds")
-    return materialize(found.mapInArrow(value, read_schema(("gram", long), ("m", long), ("value", double))), "gram-scores")
+    # grams and, in every part of their context, the nodes of depth two
+    near = lambda c: F.shiftright(c, 9).bitwiseAND(F.lit(0xFFFF)) * SALTS
+    part = near("gram") + F.shiftright("gram", 25).bitwiseAND(F.lit(SALTS - 1))
+    found = parts.filter("gram IS NOT NULL").select(part.alias("part"), "gram", "m", "odds", *(F.lit(None).cast(t).alias(c) for c, t in (("key", long), ("n0", double), ("n1", double), ("stop", double))))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    nodes = two.select("key", "n0", "n1", "stop", salt).select((near("key") + F.col("salt")).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("gram", long), ("m", long), ("odds", T.BinaryType()))), "key", "n0", "n1", "stop")
+    both = found.unionAll(nodes).repartition("part").sortWithinPartitions("part", F.col("gram").isNotNull())
+    return materialize(both.mapInArrow(value, read_schema(("gram", long), ("m", long), ("value", double))), "gram-scores")
 
 
 def frequent(df: DataFrame, count: str, most: int) -> tuple[DataFrame | None, DataFrame]:
@@ -296,7 +336,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         train = ~is_held_out(batch.column(0).to_pylist(), FOLDS)
         buf, at = text_buffer(batch.column(1).filter(pa.array(train)))
-        for i, j, part, off in pieces(buf, at, 8_000_000):
+        for i, j, part, off in pieces(buf, at):
             part = LOWER[part]
             starts, ends, _ = word_spans(part, off)
             coded = words_array(part, starts, ends).dictionary_encode()
@@ -309,14 +349,14 @@ def _scorer(model, known):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the frequent grams give to the scores of rows and the frequent words to their base;
         the other words and grams."""
-        frequent_grams = Known(*model.value)
+        frequent_grams = model.value
         hashes, value, end_value, end_known = known.value
         for batch in batches:
             n = batch.num_rows
             total, base, rest = np.zeros(n), np.zeros(n), [[]] * n
             tokens, seen, rare, n_rare = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
             buf, at = text_buffer(batch.column(1))
-            for i, j, part, off in pieces(buf, at):
+            for i, j, part, off in pieces(buf, at, PIECE_BYTES):
                 part = LOWER[part]
                 gram, first = grams(part, off)
                 given, hit = frequent_grams.find(gram)
@@ -359,7 +399,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     if common is not None:
         got = common.toArrow()
         gram, m, value = (got.column(c).to_numpy() for c in ("gram", "m", "value"))
-    model = context.broadcast((gram.astype(np.int64).view(np.uint64), m, value))
+    model = context.broadcast(Known(gram.astype(np.int64).view(np.uint64), m, value))
     counts = docs.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
     all_tokens, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()

@@ -61,7 +61,7 @@ def weighted(counts, context, node):
 
 
 def test_context_tree(spark):
-    texts = ["abab", "abba", "", "b"] * lm_scoring.LEAST_VISITS  # so that no node is left out
+    texts = ["abab", "abba", "", "b"]
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
     counts = {}
     for t in texts:
@@ -102,11 +102,11 @@ def test_context_tree(spark):
         assert not got[i].held_out
 
 
-def test_subtree_keeps_nodes_of_one_visit():
-    gram = np.array([int.from_bytes(c, "big") << 9 | s for c, s in ((b"aaaxy", ord("p")), (b"bbbxy", ord("q")))])
-    t = pa.table({"gram": gram, "n": np.ones(2, np.int64), "m": np.ones(2, np.int64)})
-    odds = np.frombuffer(b"".join(x for x in lm_scoring._subtree(t).column("odds").to_pylist() if x), np.float32).reshape(2, 9)
-    # p and q differ in their last bit: depth two stops with 1/3 and has it even, below each was seen once
+def test_nodes_of_one_visit_count():
+    gram = np.array([int.from_bytes(c, "big") << 9 | s for c, s in ((b"aawxy", ord("p")), (b"bbwxy", ord("q")))]).astype(np.uint64)
+    one = np.ones(2, np.int64)
+    odds = np.frombuffer(b"".join(x for x in lm_scoring._subtree(gram, one, one).column("odds").to_pylist() if x), np.float32).reshape(2, 9)
+    # p and q differ in their last bit: depth three stops with 1/3 and has it even, below each was seen once
     assert np.allclose(odds[:, 8], 1 / 3 * 1 / 2 + 2 / 3 * 3 / 4)
 
 
@@ -130,21 +130,26 @@ def test_context_tree_is_whole_whatever_is_sent_out(spark, monkeypatch):
         assert (common.count() if common else 0) + rare.count() == len(distinct)
 
 
-def test_subtree_does_not_depend_on_slices(monkeypatch):
+def test_subtrees_do_not_depend_on_batches_and_slices(monkeypatch):
     r = np.random.default_rng(3)
     buf = r.choice(np.frombuffer(b"abcd", np.uint8), 4000)
     gram, n = np.unique(lm_scoring.grams(buf, np.array([0, 1500, 4000]))[0], return_counts=True)
-    here = (gram >> np.uint64(9)) & np.uint64(0xFFFF) == np.uint64(ord("a") << 8 | ord("b"))
+    near = ((gram >> np.uint64(9)) & np.uint64(0xFFFFFF)).astype(np.int32)
+    order = np.argsort(near, kind="stable")
     n = np.where(np.arange(len(n)) % 5, n, 0)
-    t = pa.table({"gram": gram[here].view(np.int64), "n": n[here], "m": n[here] + 1})
-    whole = lm_scoring._subtree(t)
-    monkeypatch.setattr(lm_scoring, "SLICE_GRAMS", 1)
-    cut = lm_scoring._subtree(t)
-    assert cut.select(["gram", "m", "key", "n0", "n1"]).equals(whole.select(["gram", "m", "key", "n0", "n1"]))
-    for c, dtype in (("odds", np.float32), ("weighted", float)):
-        a, b = ([x for x in got.column(c).to_pylist() if x is not None] for got in (whole, cut))
-        a, b = (np.frombuffer(b"".join(x), dtype) if c == "odds" else np.array(x) for x in (a, b))
-        assert np.allclose(a, b, rtol=1e-6, equal_nan=True)
+    rows = pa.record_batch([near[order], gram[order].view(np.int64), n[order], n[order] + 1], ["near", "gram", "n", "m"])
+    want = {}
+    for size, batch in ((10**6, 10**6), (1, 7), (50, 10**6), (300, 64)):
+        monkeypatch.setattr(lm_scoring, "SLICE_GRAMS", size)
+        out = pa.Table.from_batches(lm_scoring._subtrees(iter([rows.slice(i, batch) for i in range(0, len(gram), batch)])))
+        got = {}
+        for x in out.to_pylist():
+            key = ("gram", x["gram"], x["m"]) if x["gram"] is not None else ("node", x["key"])
+            assert key not in got
+            got[key] = np.frombuffer(x["odds"], np.float32) if x["gram"] is not None else np.array([x["n0"], x["n1"], x["weighted"]])
+        want = want or got
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], rtol=1e-6, equal_nan=True) for k in want)
 
 
 def test_base_scores(spark, monkeypatch):
@@ -211,7 +216,7 @@ def test_marginals_are_exact():
 
 
 def test_extraction_of_labelled_pages():
-    model, pages, tree = html_extract.train(), Pages(77), html_extract.Tree()
+    model, pages, tree = html_extract.train(), Pages(77), html_extract.Tree(training=True)
     for k in range(150):
         tree.parse(pages.page(), k)
     run = np.array([t is not None for t in tree.text])
