@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import LOWER, materialize, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
+from ._shared import LOWER, discard, materialize, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
 
 DEPTH = 5
 END = 256
@@ -316,7 +316,9 @@ def gram_scores(docs: DataFrame) -> DataFrame:
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     nodes = two.select("key", "n0", "n1", "stop", salt).select((near("key") + F.col("salt")).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("gram", long), ("m", long), ("odds", T.BinaryType()))), "key", "n0", "n1", "stop")
     both = found.unionAll(nodes).repartition("part").sortWithinPartitions("part", F.col("gram").isNotNull())
-    return materialize(both.mapInArrow(value, read_schema(("gram", long), ("m", long), ("value", double))), "gram-scores")
+    scores = materialize(both.mapInArrow(value, read_schema(("gram", long), ("m", long), ("value", double))), "gram-scores")
+    discard(parts, two)
+    return scores
 
 
 def frequent(df: DataFrame, count: str, most: int) -> tuple[DataFrame | None, DataFrame]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import LOWER, materialize, pieces, read_schema, table, text_buffer, word_spans
+from ._shared import LOWER, bitmap, discard, in_bitmap, materialize, pieces, read_schema, table, text_buffer, word_spans
 
 SHINGLE, SEED, MOST_DIFFERENT = 3, 42, 3
 #: A variant shared by more fingerprints than this is cut again.
@@ -127,7 +127,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the node and its smaller neighbours link to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        old, edges = edges, materialize(small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        discard(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -156,19 +157,25 @@ def as_hex(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, by id (nulls last) and text."""
+    """One row of docs for each component, by id (nulls last) and text. Rows that stay are not
+    shuffled, but for those that a bitmap takes for dropped ones."""
     long = T.LongType()
     own, tie = F.col("doc_id").cast("long"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     prints = docs.select(own.alias("doc_id"), "text", tie.alias("tie")).mapInArrow(_fingerprint, read_schema(("doc_id", long), ("fp", long), ("tie", T.StringType())))
     prints = materialize(prints, "fingerprints")
     rooted = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
-    stay = materialize(rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_stay"), F.col("rep.tie").alias("_stay_tie")), "stay")
-    kept = docs.withColumn("_tie", tie).join(stay, own.eqNullSafe(F.col("_stay")) & (F.col("_tie") == F.col("_stay_tie")), "left_semi")
-    # only rows that agree in id and text can be two of a component
-    twice = kept.groupBy(own.alias("_id"), "_tie").count().filter("count > 1")
-    if not twice.isEmpty():
-        kept = kept.withColumn("_id", own).dropDuplicates(["_id", "_tie"]).drop("_id")
-    return kept.drop("_tie")
+    stay = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("stay_id"), F.col("rep.tie").alias("stay_tie"), F.lit(True).alias("stays"))
+    # (id, text) pairs to drop, and pairs to keep that come in several rows, one of which stays
+    pairs = prints.groupBy("doc_id", "tie").agg(F.count("*").alias("n"))
+    told = pairs.join(stay, pairs.doc_id.eqNullSafe(F.col("stay_id")) & (F.col("tie") == F.col("stay_tie")), "left")
+    gone = materialize(told.filter("stays IS NULL OR n > 1").select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"), F.col("stays").isNull().alias("gone")), "gone")
+    discard(prints)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("gone_id", "gone_tie").alias("h"))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("id"), tie.alias("tie"))
+    rows = rows.withColumn("told", in_bitmap(shared)(F.xxhash64("id", "tie")))
+    some = rows.filter("told").join(gone.filter("gone"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tie") == F.col("gone_tie")), "left_anti")
+    some = some.dropDuplicates(["id", "tie"]).select("row")
+    return rows.filter("NOT told").select("row").unionAll(some).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bitmap, gram_hashes, materialize, may_contain, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
+from ._shared import bitmap, discard, gram_hashes, in_bitmap, materialize, may_contain, mixed, pieces, read_schema, table, text_buffer, word_hashes, word_spans, words_array
 
 WINDOW, GRAM, BLOCK = 13, 5, 7
 #: Bytes of text in a shard; phrases in one automaton; found phrases looked at together.
@@ -298,7 +298,9 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     phrases = seen.select("shard", "place", "a", "b").join(owned, ["a", "b"]).select("shard", "place", "owner")
     found = dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate, read_schema(("doc_id", long), ("h", long), ("lo", long), ("hi", long)))
     # repeated rows have equal spans
-    return materialize(found.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    spans = materialize(found.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(hashes, some)
+    return spans
 
 
 def _kept(text: str, spans: list[dict]) -> tuple[str, int]:
@@ -359,14 +361,19 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("other")))
     spans = removed_spans(rows)
-    both = rows.join(spans, ["doc_id", "h"], "left").select("other", "text", "spans")
+    key = F.xxhash64("doc_id", "h")
+    # only rows that may lose words are sent to the join
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(key.alias("h"))))
+    marked = rows.withColumn("sent", in_bitmap(shared)(key))
+    whole = marked.filter("NOT sent").select("other", "text", F.lit(False).alias("cut"))
+    both = marked.filter("sent").drop("sent").join(spans, ["doc_id", "h"], "left").select("other", "text", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() if not s.is_valid else _kept(t.as_py(), s.as_py())[0] for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
             yield pa.record_batch([batch.column("other"), pa.array(texts, pa.string()), batch.column("spans").is_valid()], ["other", "text", "cut"])
 
-    done = both.mapInArrow(finish, T.StructType([both.schema["other"], both.schema["text"], T.StructField("cut", T.BooleanType())]))
+    done = whole.unionAll(both.mapInArrow(finish, T.StructType([both.schema["other"], both.schema["text"], T.StructField("cut", T.BooleanType())])))
     cols = []
     for c in docs.columns:
         own = F.col("text") if c == "text" else F.col(f"other.`{c}`")
