@@ -60,14 +60,19 @@ P_SCOPE = ("td", "th", "button", "caption", "object", "table", "html")
 P_KEEPS = frozenset("button label select option optgroup ins svg video audio canvas object".split())
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""(class|id|role|data-y|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?|["'=]""")
+#: Attributes that are read from pages, and the one that labels training pages.
+NAMING, LABEL = frozenset(("class", "id", "role")), "data-y"
 _NAME = re.compile(r"[a-z]+")
 
 
 class Tree:
-    """Nodes of many pages: parent, depth, kind of page, features and text of runs."""
+    """Nodes of many pages: parent, depth, kind, features and text of runs. Labels are read from
+    training pages only. Of the words of names those of a vocabulary are kept, if one is given; others
+    have no weight."""
 
-    def __init__(self):
+    def __init__(self, training: bool = False, vocabulary: frozenset[str] | None = None):
+        self.training, self.vocabulary = training, vocabulary
         self.parent, self.depth, self.features, self.text, self.label, self.page, self.kind = [], [], [], [], [], [], []
 
     def add(self, parent: int, page: int, label: int, kind: int = ELEMENT) -> int:
@@ -80,10 +85,25 @@ class Tree:
         self.text.append(None)
         return len(self.parent) - 1
 
+    def named(self, attrs: str, label: int) -> tuple[list[str], int]:
+        """The words of an element's names, and its label."""
+        words: list[str] = []
+        for name, *values in _ATTR.findall(attrs):
+            name, value = name.lower(), next(filter(None, values), "")
+            if name in NAMING:
+                words += [w for w in _NAME.findall(value.lower()) if self.vocabulary is None or w in self.vocabulary]
+            elif name == "hidden" or (name == "aria-hidden" and value != "false"):
+                words.append("hidden")
+            elif name == LABEL and self.training:
+                label = int(value)
+        return words, label
+
     def parse(self, source: str, page: int) -> None:
         root = self.add(-1, page, 0)
-        # open elements: (tag, node of the nearest block, inside a link)
+        # open elements: (tag, node of the nearest block, inside a link); where each tag is open
         stack: list[tuple[str, int, bool]] = [("", root, False)]
+        opened: dict[str, list[int]] = {}
+        blocks: list[int] = []
         names: dict[int, tuple[str, list[str]]] = {root: ("", [])}
         chars: dict[int, list[int]] = {root: [0, 0, 0]}  # text, link text, runs
         run: list[str] = []
@@ -101,10 +121,23 @@ class Tree:
                 run.clear()
             size[0] = size[1] = 0
 
+        def last(tags) -> int:
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+        def push(tag: str, above: int, linked: bool) -> None:
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, above, linked))
+
         def close(to: int) -> None:
-            if any(tag in BLOCK for tag, _, _ in stack[to:]):
+            if blocks and blocks[-1] >= to:
                 flush()
-            del stack[to:]
+            while len(stack) > to:
+                tag, _, _ = stack.pop()
+                opened[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
 
         def say(raw: str) -> None:
             if raw:
@@ -125,12 +158,10 @@ class Tree:
             at = m.end()
             if m[1]:
                 tag = m[1].lower()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:
-                        break
+                k = last((tag,))
+                # the end of an inline element doesn't reach out of its block
+                if k and (tag in BLOCK or not blocks or blocks[-1] < k):
+                    close(k)
                 continue
             if not m[2]:
                 continue
@@ -139,19 +170,14 @@ class Tree:
             tag, attrs = m[2].lower(), m[3]
             if tag in BLOCK and tag not in P_KEEPS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in P_SCOPE:
-                        break
+                k = last(("p",))
+                if k > last(P_SCOPE):
+                    close(k)
             if tag in ENDS:
                 ended, stop = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in ended:
-                        close(k)
+                least = last(stop)
+                while (k := last(ended)) > least:
+                    close(k)
             if tag in VOID:
                 if tag == "br":
                     run.append(" ")
@@ -161,38 +187,28 @@ class Tree:
             _, above, linked = stack[-1]
             if tag in BLOCK:
                 flush()
-                words, label = [], self.label[above]
-                if "=" in attrs or "hidden" in attrs:
-                    for name, a, b, c in _ATTR.findall(attrs):
-                        value = a or b or c
-                        if name.lower() == "data-y":
-                            label = int(value)
-                        elif "hidden" in name.lower():
-                            words += [] if value == "false" else ["hidden"]
-                        else:
-                            words += _NAME.findall(value.lower())
+                words, label = self.named(attrs, self.label[above])
                 above = self.add(above, page, label, TEXT_ELEMENT if tag in TEXTUAL else ELEMENT)
                 names[above], chars[above] = (tag, words), [0, 0, 0]
-            stack.append((tag, above, linked or tag == "a"))
+            push(tag, above, linked or tag == "a")
             if tag in RAW:
                 close_at = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
                 end = close_at.start() if close_at else length
                 say(source[at:end])
-                flush()
-                stack.pop()
+                close(len(stack) - 1)
                 at = length
                 if close_at:
                     gt = source.find(">", end)
                     at = gt + 1 if gt >= 0 else length
         flush()
         for leaf, n, linked_n in runs:
-            node = self.parent[leaf]
-            while node >= 0:
-                c = chars[node]
-                c[0] += n
-                c[1] += linked_n
-                c[2] += 1
-                node = self.parent[node]
+            c = chars[self.parent[leaf]]
+            c[0] += n
+            c[1] += linked_n
+            c[2] += 1
+        for node in reversed(names):  # children come after their parents
+            if node != root:
+                chars[self.parent[node]] = [a + b for a, b in zip(chars[self.parent[node]], chars[node], strict=True)]
         for node, (tag, words) in names.items():
             n, linked_n, many = chars[node]
             self.features[node] = ["text element" if tag in TEXTUAL else "element", f"tag={tag}", *{f"word={w}" for w in words}, *{f"tag={tag} word={w}" for w in words}, f"size={_bucket(n, 10)}", f"links={_share(linked_n, n)}", f"runs={_bucket(many, 4)}", f"tag={tag} links={_share(linked_n, n)}", f"tag={tag} in={names.get(self.parent[node], ('',))[0]}"]
@@ -247,6 +263,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], pairs: np.ndarray, prior: np.ndarray):
         self.weights, self.pairs, self.prior = weights, pairs, prior
+        self.vocabulary = frozenset(f.rpartition("word=")[2] for f in weights if "word=" in f)
 
     def marginals(self, tree: Tree) -> np.ndarray:
         get = self.weights.get
@@ -259,7 +276,7 @@ def train(n_pages: int = 1000, seed: int = 5, rounds: int = 150) -> Model:
     """Fit the model to generated labelled pages: pair potentials from counts, evidence by
     the conditional likelihood of whole trees, whose gradient compares the marginals with
     the labels."""
-    tree, pages = Tree(), Pages(seed)
+    tree, pages = Tree(training=True), Pages(seed)
     for k in range(n_pages):
         tree.parse(pages.page(), k)
     y, shape = np.array(tree.label, float), Shape(tree)
@@ -286,7 +303,7 @@ def train(n_pages: int = 1000, seed: int = 5, rounds: int = 150) -> Model:
 
 def extract(pages: list[str], model: Model) -> list[str]:
     """The main text of each page, one line a block."""
-    tree = Tree()
+    tree = Tree(vocabulary=model.vocabulary)
     for k, source in enumerate(pages):
         tree.parse(source, k)
     out: list[list[str]] = [[] for _ in pages]
