@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import LOWER, byte_set, gram_hashes, materialize, pieces, read_schema, table, text_buffer, word_hashes, word_spans
+from ._shared import LOWER, byte_set, discard, gram_hashes, materialize, pieces, read_schema, table, text_buffer, word_hashes, word_spans
 
 WINDOW, SHINGLE = 13, 3
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Contaminated: some word is hit, and a twentieth of all at least.
 SHARE = 20
 #: Bytes of words after lower-casing: digits, a-z and all of the rest of Unicode.
@@ -42,53 +42,66 @@ LETTERS = byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
 class Windows:
-    """Distinct windows of one block of benchmark items, by hashed words."""
+    """Distinct windows of one block of benchmark items as rows of word numbers: about 100 bytes a
+    window, whatever its text."""
 
     def __init__(self, items: list[tuple[str, str]]):
         self.items = [i for i, _ in items]
-        self.words: dict[int, list] = {}  # window length -> rows of word bytes
-        self.of: dict[int, list[set[int]]] = {}
-        seen: dict[tuple, tuple[int, int]] = {}
+        numbers: dict[bytes, int] = {}
+        parts: dict[int, list[np.ndarray]] = {}  # window length -> rows of word numbers
+        owner: dict[int, list[np.ndarray]] = {}
         for k, (_, text) in enumerate(items):
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             starts, ends, _ = word_spans(data, np.array([0, len(data)]), LETTERS)
             raw = data.tobytes()
-            words = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
+            words = np.array([numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
             size = min(WINDOW, len(words))
-            for i in range(len(words) - size + 1) if size else ():
-                w = tuple(words[i : i + size])
-                if w not in seen:
-                    seen[w] = (size, len(self.words.setdefault(size, [])))
-                    self.words[size].append(w)
-                    self.of.setdefault(size, []).append(set())
-                self.of[size][seen[w][1]].add(k)
-        self.hashed = {}
-        for size, rows in self.words.items():
-            flat = [w for r in rows for w in r]
-            data = np.frombuffer(b"".join(flat), np.uint8)
-            ends = np.cumsum([len(w) for w in flat])
-            starts = ends - [len(w) for w in flat]
-            self.hashed[size] = np.concatenate([word_hashes(data[starts[a] : ends[min(a + 100_000, len(flat)) - 1]], starts[a : a + 100_000] - starts[a], ends[a : a + 100_000] - starts[a]) for a in range(0, len(flat), 100_000)]).reshape(len(rows), size)
+            if size:
+                rows = np.lib.stride_tricks.sliding_window_view(words, size)
+                parts.setdefault(size, []).append(rows)
+                owner.setdefault(size, []).append(np.full(len(rows), k, np.int32))
+        self.vocabulary = list(numbers)
+        ends = np.cumsum([len(w) for w in self.vocabulary], dtype=np.int64)
+        starts = ends - [len(w) for w in self.vocabulary]
+        data = np.frombuffer(b"".join(self.vocabulary), np.uint8)
+        self.word_hash = np.zeros(len(numbers), np.uint64)
+        for i in range(0, len(numbers), 100_000):
+            j = min(i + 100_000, len(numbers))
+            self.word_hash[i:j] = word_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        self.words: dict[int, np.ndarray] = {}
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each window, its first place in a list of items
+        for size, rows in parts.items():
+            distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pair = np.unique(np.stack([which.ravel(), np.concatenate(owner[size])]), axis=1)
+            self.words[size] = np.ascontiguousarray(distinct, np.int32)
+            self.of[size] = (np.searchsorted(pair[0], np.arange(len(distinct) + 1)), pair[1].astype(np.int32))
+
+    def items_of(self, size: int, window: int) -> list[str]:
+        first, items = self.of[size]
+        return [self.items[k] for k in items[first[window] : first[window + 1]].tolist()]
 
     def shingles(self, size: int) -> tuple[int, np.ndarray]:
         """Length of the shingles of windows of a size, and their hashes by position."""
-        k = min(SHINGLE, size)
-        words = self.hashed[size]
-        flat = gram_hashes(words.ravel(), k)
-        return k, flat[(np.arange(len(words))[:, None] * size) + np.arange(size - k + 1)]
+        k, rows = min(SHINGLE, size), self.words[size]
+        out = np.empty((len(rows), size - k + 1), np.uint64)
+        for i in range(0, len(rows), 50_000):
+            part = self.word_hash[rows[i : i + 50_000]]
+            flat = gram_hashes(part.ravel(), k)
+            out[i : i + 50_000] = flat[(np.arange(len(part))[:, None] * size) + np.arange(size - k + 1)]
+        return k, out
 
     def all_shingles(self) -> dict[int, np.ndarray]:
         """Sorted distinct hashes by shingle length."""
         out: dict[int, np.ndarray] = {}
-        for size in self.hashed:
+        for size in self.words:
             k, h = self.shingles(size)
             out[k] = np.union1d(out.get(k, np.zeros(0, np.uint64)), h.ravel())
         return out
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    """A small bitmap that lets through what may be among the hashes."""
-    size = max(1 << 16, 1 << (32 * len(hashes)).bit_length())
+    """A small table that lets through what may be among the hashes."""
+    size = max(1 << 16, 1 << (8 * len(hashes)).bit_length())
     out = np.zeros(size, bool)
     out[hashes & np.uint64(size - 1)] = True
     return out
@@ -131,12 +144,12 @@ class Index:
     def __init__(self, windows: Windows, known: dict[int, np.ndarray], counts: dict[int, np.ndarray]):
         self.windows, self.by_length = windows, {}
         entries: dict[int, list] = {}
-        for size in windows.hashed:
+        for size in windows.words:
             k, h = windows.shingles(size)
             frequency = counts[k][np.searchsorted(known[k], h)]
             rarest = np.argmin(frequency, axis=1)
             rows = np.arange(len(h))
-            entries.setdefault(k, []).append((h[rows, rarest], rarest, np.full(len(h), size), rows))
+            entries.setdefault(k, []).append((h[rows, rarest], rarest.astype(np.int8), np.full(len(h), size, np.int8), rows.astype(np.int32)))
         for k, parts in entries.items():
             h, offset, size, row = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
@@ -158,7 +171,7 @@ class Index:
             n = many[place]
             entry = np.repeat(at[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
             begin = np.repeat(m, n) - offset[entry]
-            length, window_of = size[entry], window[entry]
+            length, window_of = size[entry].astype(np.int64), window[entry].astype(np.int64)
             inside = (begin >= 0) & (begin + length <= len(words))
             begin, length, window_of = begin[inside], length[inside], window_of[inside]
             inside = row_of[begin] == row_of[begin + length - 1]
@@ -168,14 +181,17 @@ class Index:
                 b, w = begin[mine], window_of[mine]
                 equal = np.ones(len(b), bool)
                 for j in range(s):
-                    equal &= words[b + j] == self.windows.hashed[s][w, j]
+                    equal &= words[b + j] == self.windows.word_hash[self.windows.words[s][w, j]]
                 b, w = b[equal], w[equal]
                 out.append((b, np.full(len(b), s), w))
         b, s, w = (np.concatenate(x) for x in zip(*out, strict=True))
-        if len(b):  # word by word
-            raw, rows = part.tobytes(), self.windows.words
-            exact = [all(raw[starts[x + j] : ends[x + j]] == rows[z][y][j] for j in range(z)) for x, z, y in zip(b.tolist(), s.tolist(), w.tolist(), strict=True)]
-            keep = np.array(exact, bool)
+        if len(b):  # word by word: each pair of a document's word and a window's word once
+            place = np.concatenate([np.arange(x, x + z) for x, z in zip(b.tolist(), s.tolist(), strict=True)])
+            number = np.concatenate([self.windows.words[z][y] for z, y in zip(s.tolist(), w.tolist(), strict=True)])
+            pairs, which = np.unique(np.stack([place, number]), axis=1, return_inverse=True)
+            raw, known = part.tobytes(), self.windows.vocabulary
+            same = np.array([raw[starts[x] : ends[x]] == known[y] for x, y in pairs.T.tolist()], bool)[which.ravel()]
+            keep = np.logical_and.reduceat(same, np.append(0, np.cumsum(s))[:-1])
             b, s, w = b[keep], s[keep], w[keep]
         return b, s, w
 
@@ -201,7 +217,7 @@ def _matcher(shared, chained: bool):
                 for r, x, z, y in zip(row.tolist(), b.tolist(), s.tolist(), w.tolist(), strict=True):
                     lo = x - int(first[r])
                     spans[i + r] += [lo, lo + z]
-                    items[i + r].update(index.windows.items[t] for t in index.windows.of[z][y])
+                    items[i + r].update(index.windows.items_of(z, y))
             merged = [_union(x) for x in spans]
             found = pa.StructArray.from_arrays([pa.array(n_words), pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["n_words", "spans", "items"])
             cols = batch.columns[: -1 if chained else None]
@@ -238,7 +254,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    blocks, before = max(1, -(-size // block_bytes)), None
     for block in range(blocks):
         # about block_bytes of text, as checked above
         part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else bench
@@ -255,6 +271,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
         docs = docs.mapInArrow(_matcher(shared, block > 0), schema)
         if block + 1 < blocks:
             docs = materialize(docs, "decontamination")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 
