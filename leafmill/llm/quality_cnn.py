@@ -7,7 +7,8 @@ that overlap by three quarters, a hidden layer reads each chunk, its units are m
 and mean-pooled over all chunks of the document, and one logistic unit combines them.
 
 The network is trained here on a bounded sample of labelled rows (TRAIN_ROWS rows and
-TRAIN_BYTES bytes at most) in the order of their hashed ids, with fixed seeds, so reruns agree.
+TRAIN_BYTES bytes at most, no text of more than TEXT_BYTES) in the order of their hashed ids, with fixed
+seeds, so reruns agree; sizes are summed up before any text is fetched.
 Its parameters take less than 200 kB.
 
 Defined results: null and empty text have no chunk and get the score of the final bias; rows
@@ -36,7 +37,10 @@ SEGMENT, SEGMENTS = 64, 4
 LAGS = range(2, 33)
 SYMBOLS, PAD = 513, 512
 FOLDS, THRESHOLD = 5, 0.3
-TRAIN_ROWS, TRAIN_BYTES = 3000, 12_000_000
+#: Bounds of the training sample: rows, bytes of one text, bytes of all.
+TRAIN_ROWS, TEXT_BYTES, TRAIN_BYTES = 3000, 1_500_000, 12_000_000
+#: Bytes that are scored together; a longer text is convolved by pieces of so many positions.
+PIECE_BYTES = 500_000
 
 
 def symbols(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +63,7 @@ def symbols(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Layout:
     """Positions, segments and chunks of rows of n positions each."""
 
-    def __init__(self, n: np.ndarray, begin: np.ndarray):
+    def __init__(self, n: np.ndarray, begin: np.ndarray, positions: bool = True):
         segments = -(-n // SEGMENT)
         chunks = np.where(segments > 0, np.maximum(segments - SEGMENTS + 1, 1), 0)
         self.first_segment = np.append(0, np.cumsum(segments))
@@ -67,8 +71,9 @@ class Layout:
         within = np.arange(len(row)) - self.first_segment[:-1][row]
         self.start = begin[:-1][row] + within * SEGMENT
         self.length = np.minimum(SEGMENT, n[row] - within * SEGMENT)
-        self.position = np.repeat(self.start - np.append(0, np.cumsum(self.length))[:-1], self.length) + np.arange(self.length.sum())
-        self.position_first = np.append(0, np.cumsum(self.length))
+        if positions:
+            self.position = np.repeat(self.start - np.append(0, np.cumsum(self.length))[:-1], self.length) + np.arange(self.length.sum())
+            self.position_first = np.append(0, np.cumsum(self.length))
         self.first_chunk = np.append(0, np.cumsum(chunks))
         self.chunk_row = np.repeat(np.arange(len(n)), chunks)
         inside = np.arange(len(self.chunk_row)) - self.first_chunk[:-1][self.chunk_row]
@@ -106,6 +111,24 @@ class Network:
         mean = ((total[lay.hi] - total[lay.lo]) / lay.chunk_size).astype(np.float32)
         return mean, out if keep else None
 
+    def long_features(self, buf: np.ndarray, lay: Layout, piece: int) -> np.ndarray:
+        """The chunk means of one long text, convolved piece by piece: what is held of the
+        whole text is one sum for each segment."""
+        n, margin = len(buf), LAGS[-1] + WIDTH
+        sums = []
+        for lo in range(0, n, piece):
+            hi, ahead = min(lo + piece, n), max(0, lo - margin)
+            s, _ = symbols(buf[ahead : hi + WIDTH - 1], np.array([0, min(hi + WIDTH - 1, n) - ahead]))
+            part = s[lo - ahead :]
+            out = self.p["conv"][0][part[: hi - lo]]
+            for j in range(1, WIDTH):
+                out += self.p["conv"][j][part[j : j + hi - lo]]
+            out += self.p["conv_bias"]
+            np.maximum(out, 0, out=out)
+            sums.append(np.add.reduceat(out, np.arange(0, hi - lo, SEGMENT), axis=0))
+        total = np.vstack([np.zeros((1, FILTERS)), np.cumsum(np.concatenate(sums), axis=0, dtype=np.float64)])
+        return ((total[lay.hi] - total[lay.lo]) / lay.chunk_size).astype(np.float32)
+
     def pool(self, mean: np.ndarray, lay: Layout, n: int):
         h = np.tanh(mean * np.float32(8) @ self.p["hidden"] + self.p["hidden_bias"])
         top, avg = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
@@ -120,9 +143,13 @@ class Network:
 
     def score(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Probability of label 1 of every row."""
-        s, begin = symbols(buf, at)
-        lay = Layout(np.diff(at), begin)
-        mean, _ = self.features(s, lay)
+        if len(at) == 2 and len(buf) > PIECE_BYTES:
+            lay = Layout(np.diff(at), at, positions=False)
+            mean = self.long_features(buf, lay, PIECE_BYTES // SEGMENT * SEGMENT)
+        else:
+            s, begin = symbols(buf, at)
+            lay = Layout(np.diff(at), begin)
+            mean, _ = self.features(s, lay)
         _, top, avg = self.pool(mean, lay, len(at) - 1)
         return 1 / (1 + np.exp(-np.clip(self.logits(top, avg).astype(np.float64), -60, 60)))
 
@@ -180,20 +207,29 @@ class Network:
                     self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
-    """At most `rows` labelled texts that are not held out, in the order of hashed ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TEXT_BYTES, most_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
+    """At most `rows` labelled texts that are not held out, in the order of hashed ids, while they fit
+    into most_bytes."""
     own = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0
-    some = labels.filter("quality IN (0, 1)").select("doc_id", "quality").filter(own).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    some = some.select(F.col("doc_id").alias("_id"), "quality")
-    # the sample is bounded, so its ids may go to every task
-    found = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text", F.octet_length("text").alias("size"))
-    got, left = [], most_bytes
-    for r in sorted(found.filter(F.coalesce("size", F.lit(0)) <= most_bytes // 8).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.quality, r.text or "")):
-        data = (r.text or "").encode()
-        if len(data) <= left:
-            left -= len(data)
-            got.append((data, r.quality))
-    return got
+    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
+    some = labels.filter("quality IN (0, 1)").select("doc_id", "quality").filter(own).orderBy(*order).limit(rows).select(F.col("doc_id").alias("_id"), "quality")
+    # sizes first: `rows` numbers reach the driver, and then most_bytes of text at most
+    sized = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sized = sized.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).filter(F.col("size") <= text_bytes).select("doc_id", "quality", "h", "size")
+    chosen, left = {}, most_bytes
+    for r in sized.orderBy(*order, "h").limit(rows).collect():
+        if (r.doc_id, r.h) in chosen:
+            chosen[r.doc_id, r.h].append(r.quality)
+        elif r.size <= left:
+            left -= r.size
+            chosen[r.doc_id, r.h] = [r.quality]
+    if not chosen:
+        return []
+    keys = docs.sparkSession.createDataFrame(list(chosen), T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("_h", T.LongType())]))
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    found = found.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text").collect()
+    got = [(zlib.crc32(str(r.doc_id).encode()), r.doc_id, q, r.text or "") for r in found for q in chosen[r.doc_id, r.h]]
+    return [(text.encode(), q) for _, _, q, text in sorted(got)]
 
 
 def train_network(sample: list[tuple[bytes, int]]) -> Network:
@@ -213,7 +249,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             buf, at = text_buffer(batch.column(1))
             score = np.full(batch.num_rows, 0.5)
-            for i, j, part, off in pieces(buf, at, 500_000):
+            for i, j, part, off in pieces(buf, at, PIECE_BYTES):
                 score[i:j] = net.score(part, off)
             held = [zlib.crc32(("" if x is None else str(x)).encode()) % FOLDS == 0 for x in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
