@@ -7,7 +7,7 @@ of its bits left out); fingerprints that link meet under one of them by an equal
 and the pair is kept if the whole fingerprints differ in at most three bits. Equal
 fingerprints are one node, so thousands of copies cost one row. Variants that very many
 fingerprints share are cut again: of the four bytes of the other segment one must be
-equal, and it joins the key.
+equal, and it joins the key; if far more share one, three of six parts must be, of 16 bits.
 
 Components come from alternating large-star and small-star steps, each an aggregation
 with map-side combine and a join, written to the shared folder; the number of steps
@@ -22,6 +22,7 @@ row of each component: the smallest doc_id, nulls last, and of its texts the lea
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ from pyspark.sql import types as T
 from ._shared import LOWER, bitmap, discard, in_bitmap, materialize, pieces, read_schema, table, text_buffer, word_spans
 
 SHINGLE, SEED, MOST_DIFFERENT = 3, 42, 3
-#: A variant shared by more fingerprints than this is cut again.
-HEAVY = 256
+#: A variant shared by more fingerprints than this is cut again, by four or six parts of the other segment.
+HEAVY, HEAVIER = 256, 65_536
+#: Shingles whose bits are held at once.
+SLICE = 200_000
 
 
 def simhash(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,11 +66,16 @@ def simhash(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         row = np.repeat(np.arange(j - i), shingles)
         begin = np.arange(len(row)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(first[:-1], shingles)
         end = np.minimum(begin + shingle, first[1:][row])
-        spans = zip(to[begin].tolist(), (to[end] - 1).tolist(), strict=True)
-        hashes = np.fromiter((digest(whole[s:e], SEED) for s, e in spans), np.uint64, len(row))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.zeros((j - i, 64), np.int64)
+        for k in range(0, len(row), SLICE):
+            here = slice(k, k + SLICE)
+            spans = zip(to[begin[here]].tolist(), (to[end[here]] - 1).tolist(), strict=True)
+            hashes = np.fromiter((digest(whole[s:e], SEED) for s, e in spans), np.uint64, len(row[here]))
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            of, at_first = np.unique(row[here], return_index=True)
+            ones[of] += np.add.reduceat(bits, at_first, axis=0, dtype=np.int64)
         has = np.flatnonzero(shingles)
-        ones = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[has], axis=0, dtype=np.int32)
+        ones = ones[has]
         major = 2 * ones > shingles[has][:, None]
         out[i + has] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
@@ -95,18 +103,27 @@ def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, both & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def links(fp: DataFrame, heavy: int = HEAVY) -> DataFrame:
+def links(fp: DataFrame, heavy: int = HEAVY, heavier: int = HEAVIER) -> DataFrame:
     """All pairs (a, b) of distinct fingerprints that link."""
     rows = variants(fp)
-    crowded = materialize(rows.groupBy("key").count().filter(F.col("count") > heavy).select("key"), "crowded")
+    crowded = materialize(rows.groupBy("key").count().filter(F.col("count") > heavy), "crowded")
     if crowded.isEmpty():
         return _pairs(rows, ["key"]).distinct()
-    light = _pairs(rows.join(crowded, "key", "left_anti"), ["key"])
-    # the other segment's bytes: the low half's key (v < 32) goes with the high half
+    found = _pairs(rows.join(crowded.select("key"), "key", "left_anti"), ["key"])
+    # the other segment: the low half's key (v < 32) goes with the high half
     other = F.expr("(CASE WHEN (key >> 32) < 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END)")
-    cut = rows.join(crowded, "key", "left_semi").select("fp", "key", other.alias("o"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    cut = cut.select("fp", "key", F.expr("k * 256 + CAST((o >> (8 * k)) & 255L AS INT)").alias("byte"))
-    return light.unionAll(_pairs(cut, ["key", "byte"])).distinct()
+    for cut, keys in ((f"count <= {heavier}", _part_masks(4)), (f"count > {heavier}", _part_masks(6))):
+        some = rows.join(crowded.filter(cut).select("key"), "key", "left_semi").select("fp", "key", other.alias("o"), F.posexplode(F.array(*map(F.lit, keys))).alias("k", "mask"))
+        found = found.unionAll(_pairs(some.select("fp", "key", F.expr("(CAST(k AS BIGINT) << 32) | (o & mask)").alias("part")), ["key", "part"]))
+    return found.distinct()
+
+
+def _part_masks(parts: int) -> list[int]:
+    """Of so many parts of a segment, all but three are equal if three bits differ at most: the
+    masks of all such choices."""
+    edges = [32 * i // parts for i in range(parts + 1)]
+    mask = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(mask[i] for i in chosen) for chosen in itertools.combinations(range(parts), parts - MOST_DIFFERENT)]
 
 
 def _check(edges: DataFrame) -> tuple:

@@ -53,9 +53,9 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-@pytest.mark.parametrize("heavy", [simhash.HEAVY, 1])
+@pytest.mark.parametrize("heavy", [(simhash.HEAVY, simhash.HEAVIER), (1, 8)])
 def test_simhash_components(spark, monkeypatch, heavy):
-    monkeypatch.setattr(simhash.links, "__defaults__", (heavy,))
+    monkeypatch.setattr(simhash.links, "__defaults__", heavy)
     pairs = corpus()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs_of(spark, pairs)).collect())
     prints = [fingerprint(t) for _, t in pairs]
@@ -83,8 +83,8 @@ def test_links_of_close_fingerprints(spark):
     base = [r.getrandbits(64) for _ in range(40)]
     prints = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(6)}
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    for heavy in (256, 2):
-        got = {tuple(sorted((a & (2**64 - 1), b & (2**64 - 1)))) for a, b in simhash.links(spark.createDataFrame(signed, "fp long"), heavy).collect()}
+    for heavy in ((256, 1000), (2, 1000), (1, 1), (2, 4)):
+        got = {tuple(sorted((a & (2**64 - 1), b & (2**64 - 1)))) for a, b in simhash.links(spark.createDataFrame(signed, "fp long"), *heavy).collect()}
         assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
 
 
