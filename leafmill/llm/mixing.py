@@ -106,7 +106,7 @@ def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     and taken: the last pass ends after taken - epochs * size words of it. Columns of docs
     with these names give way."""
     # repeated rows are told apart by a key that is written down
-    rows = materialize(docs.drop("size", "epochs", "taken").withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    rows = materialize(docs.drop("size", "epochs", "taken", ROW).withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
     plan = mix_plan(rows, seed).filter("taken > 0").select(F.col(ROW).alias("_planned"), "size", "epochs", "taken")
     return rows.join(plan, F.col(ROW) == F.col("_planned")).drop(ROW, "_planned")
 
