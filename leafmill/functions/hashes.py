@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,31 +12,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ascii_lower
-
+_WORD = re.compile(r"[^\W_]+")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 # Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def dedup_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """canonical (least key), copies and the other keys of each distinct content."""
-    g = df.select(F.col(key).alias("_k"), F.sha2(content, 256).alias("_h")).groupBy("_h").agg(F.min("_k").alias("canonical"), F.count("*").alias("copies"), F.sort_array(F.collect_list("_k")).alias("_all"))
-    return g.select("canonical", "copies", F.array_join(F.slice("_all", F.lit(2), F.greatest(F.size("_all"), F.lit(1))), ",").alias("duplicates"))
+    """canonical (least key) and copies of each distinct content; who belongs to it is told by
+    dedup_members, so that no content needs a list of all its copies."""
+    return df.select(F.col(key).alias("_k"), F.sha2(content, 256).alias("_h")).groupBy("_h").agg(F.min("_k").alias("canonical"), F.count("*").alias("copies")).drop("_h")
+
+
+def dedup_members(df: DataFrame, key: str, content: Column) -> DataFrame:
+    """Every key with the least key of equal content. Only digests are shuffled; a content that
+    very many rows have is one row of the smaller side, so that a skewed join can be split."""
+    d = df.select(F.col(key), F.sha2(content, 256).alias("_h"))
+    least = d.groupBy("_h").agg(F.min(key).alias("canonical")).withColumnRenamed("_h", "_g")
+    return d.join(least, F.col("_h").eqNullSafe(F.col("_g"))).select(key, "canonical")
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fp) with a 64-bit fingerprint: each lower-cased word votes with the first eight
-    bytes of its SHA-256, and a tie sets the bit. Words become rows, whose votes are summed
-    before they are shuffled."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
-    w = df.select(F.col(key), F.explode_outer(words).alias("_w"))
-    w = w.select(key, F.conv(F.substring(F.sha2("_w", 256), 1, 16), 16, -10).cast("long").alias("_v"))
-    votes = w.groupBy(key).agg(*(F.sum(2 * F.getbit("_v", F.lit(i)) - 1).alias(f"_{i}") for i in range(64)))
-    bits = [F.when(F.coalesce(F.col(f"_{i}"), F.lit(0)) >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    fp = bits[0]
-    for b in bits[1:]:
-        fp = fp.bitwiseOR(b)
-    return votes.select(key, fp.alias("fp"))
+    bytes of its SHA-256, and a tie sets the bit. A text is one row and nothing is shuffled;
+    a word is hashed once for all texts of a batch that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        hashes: list[int] = []
+        for batch in batches:
+            fp = np.zeros(batch.num_rows, np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                words = _WORD.findall((t.as_py() or "").translate(_LOWER))
+                counted = Counter(words)
+                which = []
+                for w in counted:
+                    k = known.get(w)
+                    if k is None:
+                        k = known[w] = len(hashes)
+                        hashes.append(int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "big"))
+                    which.append(k)
+                v = np.array([hashes[k] for k in which], ">u8")
+                n = np.fromiter(counted.values(), np.int64, len(counted))
+                ones = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1).T.astype(np.int64) @ n
+                fp[i] = np.packbits(2 * ones >= n.sum()).view(">u8")[0]
+            if len(known) > 500_000:
+                known, hashes = {}, []
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
+
+    src = df.select(key, text)
+    return src.mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -49,6 +76,16 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_hex():
+    """The 64-bit FNV-1a hash of a string column's UTF-8, in hex."""
+
+    @F.arrow_udf("string")
+    def told(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f"{fnv1a(t.encode()):016x}" for t in text.to_pylist()], pa.string())
+
+    return told
+
+
 def content_chunks(df: DataFrame, key: str, content: str, least: int = 128, average: int = 256, most: int = 512) -> DataFrame:
     """Content-defined chunks of a text or binary column: key, offset, length, sha256. A cut
     falls behind a byte whose 32-byte rolling sum of random weights has its low bits clear, between

@@ -1,109 +1,216 @@
-"""Typed values out of text: e-mail addresses, percentages, dates, amounts, phones, numbers."""
+"""Typed values out of text: e-mail addresses, percentages, dates, amounts, phones, numbers.
+
+Parses need parts of others again and again; `let` gives such a part a name, so that it is
+worked out once and the expression's size stays that of its text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Currency signs and their codes.
-CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "₽": "RUB", "₺": "TRY", "₫": "VND"}
-CODES = ("USD", "EUR", "GBP", "JPY", "INR", "CHF", "CAD", "AUD", "CNY", "SEK", "NOK", "DKK")
-# Names of the months.
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+# Currency signs, the codes they stand for, and all codes.
+CURRENCIES = {"US$": "USD", "C$": "CAD", "A$": "AUD", "$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW"}
+CODES = ("USD", "EUR", "GBP", "JPY", "INR", "CAD", "AUD", "CHF", "KRW")
+# The first letters of the months' names.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_ONE_SIGN = "$€£¥₹₩"
+_SPACE = "(?U:\\s)"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def is_email(text: Column) -> Column:
-    return F.trim(text).rlike("^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}$")
+    """Something before the first @, behind it a dot that neither opens nor ends the rest; no space."""
+    return strip(text).rlike("(?U)^[^@\\s]+@\\S+\\.[^.\\s]+$")
 
 
 def is_percent(text: Column) -> Column:
-    return F.trim(text).rlike("^[-+]?[0-9]+([.,][0-9]+)*\\s*%$")
+    return percent(text).isNotNull()
 
 
-def is_phone(text: Column) -> Column:
-    """7 to 15 digits, no letters, and punctuation that phones have."""
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    return digits.between(7, 15) & ~text.rlike("[A-Za-z]") & F.trim(text).rlike("^[+(]|[0-9][ ()./-]+[0-9]") & ~text.rlike("[^0-9 +()./-]")
+def phone_digits(text: Column) -> Column:
+    """7 to 15 digits, with a leading plus sign; null if there are letters."""
+    def parsed(t: Column) -> Column:
+        return let(F.regexp_replace(t, "[^0-9]", ""), lambda d: F.when(F.length(d).between(7, 15) & ~t.rlike("[A-Za-z]"), F.concat(F.when(t.startswith("+"), "+").otherwise(""), d)))
 
+    return let(strip(text), parsed)
 
-def phone_digits(text: Column) -> Column:
-    return F.concat(F.when(F.trim(text).startswith("+"), "+").otherwise(""), F.regexp_replace(text, "[^0-9]", ""))
+
+def is_phone(text: Column) -> Column:
+    """A phone number with what only phones have: a leading plus, a bracket, two dashes, or a dash and
+    a space."""
+    return phone_digits(text).isNotNull() & strip(text).rlike("^\\+|[()]|-.*-|-.* | .*-")
 
 
 def decimal(text: Column) -> Column:
     """A number with US or European separators: of two kinds the last is the decimal sign, a
-    separator that repeats groups digits, a single comma or dot is the decimal sign."""
-    t = F.regexp_replace(F.trim(text), "[ '\\u00A0]", "")
-    dots, commas = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    last_dot, last_comma = F.length(F.substring_index(t, ".", -1)), F.length(F.substring_index(t, ",", -1))
-    us = F.replace(t, F.lit(","), F.lit(""))
-    eu = F.translate(F.replace(t, F.lit("."), F.lit("")), ",", ".")
-    plain = F.replace(F.replace(t, F.lit(","), F.lit("")), F.lit("."), F.lit(""))
-    form = (
-        F.when((dots > 0) & (commas > 0), F.when(last_dot < last_comma, us).otherwise(eu))
-        .when(dots > 1, plain).when(commas > 1, plain).when(commas == 1, eu).otherwise(t)
-    )
-    return F.when(t.rlike("^[-+]?[0-9][0-9.,]*$"), form.try_cast("double"))
+    separator that repeats groups digits, a single comma or dot is the decimal sign. Other
+    characters are left out, and a minus sign or brackets make it negative."""
+
+    def parsed(t: Column) -> Column:
+        def form(core: Column) -> Column:
+            dots, commas = F.replace(core, F.lit("."), F.lit("")), F.replace(core, F.lit(","), F.lit(""))
+            plain = (
+                F.when(core.rlike("\\..*,[^.]*$"), F.translate(dots, ",", ".")).when(core.rlike(",.*\\.[^,]*$"), commas)
+                .when(core.rlike("\\..*\\."), dots).when(core.rlike(",.*,"), commas).otherwise(F.translate(core, ",", "."))
+            )
+            return F.when(core.rlike("[0-9]"), plain.try_cast("double"))
+
+        sign = F.when(t.rlike("^-|^\\(.*\\)$"), -1.0).otherwise(1.0)
+        return sign * let(F.regexp_replace(t, "[^0-9.,]", ""), form)
+
+    return let(F.regexp_replace(text, f"{_SPACE}+", ""), parsed)
 
 
 def percent(text: Column) -> Column:
-    return F.when(is_percent(text), decimal(F.regexp_replace(F.trim(text), "\\s*%$", "")))
+    return let(strip(text), lambda t: F.when(t.endswith("%"), decimal(F.substring(t, F.lit(1), F.length(t) - 1))))
 
 
-def _currency_sign() -> Column:
-    return F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])
+def number(text: Column) -> Column:
+    """A number without any letter around it."""
+    return F.when(~text.rlike("[A-Za-z]"), decimal(text))
 
 
-def amount_currency(text: Column) -> Column:
-    signs = "".join(CURRENCIES)
-    sign = F.regexp_extract(text, f"([{signs}])", 1)
-    code = F.regexp_extract(text, f"\\b({'|'.join(CODES)})\\b", 1)
-    return F.when(sign != "", _currency_sign()[sign]).when(code != "", code)
+def money(text: Column) -> Column:
+    """(value, currency) of an amount: a sign or code before or behind the number; a minus sign or
+    brackets outside make it negative. The value is null if there is none."""
+    signs = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])
+    codes = "|".join(CODES)
+    leading = "|".join(x.replace("$", "\\$") for x in CURRENCIES)
+    place = lambda c: F.array_position(F.array(*map(F.lit, CODES)), c)
+
+    def parsed(t: Column) -> Column:
+        bare = strip(F.regexp_replace(t, "^-*\\(*|\\)+$", ""))
+
+        def told(b: Column) -> Column:
+            sign = F.regexp_extract(b, f"^({leading})", 1)
+            before, behind = F.upper(F.regexp_extract(b, f"^(?i:({codes}))", 1)), F.upper(F.regexp_extract(b, f"(?i:({codes}))$", 1))
+            use_before = (before != "") & ((behind == "") | (place(before) <= place(behind)))
+            last = F.regexp_extract(b, f"([{_ONE_SIGN}])$", 1)
+            code = F.when(sign != "", signs[sign]).when(use_before, before).when(behind != "", behind).when(last != "", signs[last])
+            rest = (
+                F.when(sign != "", F.regexp_replace(b, f"^(?:{leading}){_SPACE}*", "")).when(use_before, F.regexp_replace(b, f"^(?i:{codes}){_SPACE}*", ""))
+                .when(behind != "", F.regexp_replace(b, f"{_SPACE}*(?i:{codes})$", "")).otherwise(b)
+            )
+            value = decimal(F.regexp_replace(rest, f"{_SPACE}*[{_ONE_SIGN}]$", ""))
+            return let(value, lambda v: F.struct(F.when(t.rlike("^-|^\\(.*\\)$"), -F.abs(v)).otherwise(v).alias("value"), F.when(v.isNotNull(), code).alias("currency")))
+
+        return let(bare, told)
+
+    return let(strip(text), parsed)
 
 
 def amount(text: Column) -> Column:
-    """The number of an amount; a minus sign or round brackets make it negative."""
-    signs = "".join(CURRENCIES)
-    bare = F.trim(F.regexp_replace(F.trim(text), f"[{signs}()]|\\b({'|'.join(CODES)})\\b", ""))
-    negative = F.trim(text).rlike("^\\(.*\\)$") | bare.startswith("-")
-    value = decimal(F.regexp_replace(bare, "^-", ""))
-    return F.when(negative, -value).otherwise(value)
+    return money(text).getField("value")
+
+
+def amount_currency(text: Column) -> Column:
+    return money(text).getField("currency")
+
+
+def is_money_shape(text: Column) -> Column:
+    """Two digits behind the last separator."""
+    tail = F.regexp_extract(text, "[.,]([^.,]*)$", 1)
+    return text.rlike("[.,]") & (F.length(F.regexp_replace(tail, "[^0-9]", "")) == 2)
 
 
 def is_amount(text: Column) -> Column:
-    """A currency, or the shape of two decimals."""
-    return amount(text).isNotNull() & (amount_currency(text).isNotNull() | F.trim(text).rlike("^[-(]?[0-9][0-9.,]*[.,][0-9]{2}\\)?$"))
+    """An amount with a currency, or in the shape of two decimals."""
+    return let(money(text), lambda m: m["value"].isNotNull() & (m["currency"].isNotNull() | is_money_shape(text)))
 
 
 def _valid(y: Column, m: Column, d: Column) -> Column:
-    iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(iso.try_cast("date").isNotNull(), iso)
+    """The ISO form of a day of the calendar; years below 100 are of this century."""
+
+    def of(year: Column) -> Column:
+        iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+        return F.when(year.between(1, 9999) & m.between(1, 12) & d.between(1, 31) & iso.try_cast("date").isNotNull(), iso)
+
+    return let(F.when(y < 100, y + 2000).otherwise(y), of)
 
 
 def date_iso(text: Column) -> Column:
-    """ISO form of a date: year first, or day and month by their sizes (month first if both
-    fit), or with the month's name; null if there is no such day."""
-    t = F.trim(text)
-    parts = [F.regexp_extract(t, "^([0-9]{1,4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,4})$", i) for i in (1, 2, 3)]
-    a, b, c = (p.try_cast("int") for p in parts)
-    year = F.when(c < 100, c + 2000).otherwise(c)
-    numeric = F.when(F.length(parts[0]) == 4, _valid(a, b, c)).when((a > 12) & (b <= 12), _valid(year, b, a)).otherwise(_valid(year, a, b))
-    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], i)])
-    dmy = [F.regexp_extract(t, "^([0-9]{1,2})\\s+([A-Za-z]{3,9})\\.?,?\\s+([0-9]{4})$", i) for i in (1, 2, 3)]
-    mdy = [F.regexp_extract(t, "^([A-Za-z]{3,9})\\.?\\s+([0-9]{1,2}),?\\s+([0-9]{4})$", i) for i in (1, 2, 3)]
+    """ISO form of a date. Three numbers: the first is the year if it has four digits or is above 31, else
+    the last has to be; day and month go by their sizes, month first if both fit. Words: the last
+    month's name, the first number up to 31 and the last one from 1900 to 2200."""
+    number = f"{_SPACE}*([+]?[0-9]+){_SPACE}*"
+    numeric = f"^{number}[-/.]{number}[-/.]{number}$"
+
+    def by_numbers(t: Column) -> Column:
+        def of(p: Column) -> Column:
+            def ymd(n: Column) -> Column:
+                a, b, c = n[0], n[1], n[2]
+                first, last = (F.length(p[0]) == 4) | (a > 31), (F.length(p[2]) == 4) | (c > 31)
+                return F.when(first, _valid(a, b, c)).when(last & (a > 12) & (b <= 12), _valid(c, b, a)).when(last, _valid(c, a, b))
+
+            return let(F.transform(p, lambda x: x.try_cast("long")), ymd)
+
+        return let(F.array(*(F.regexp_extract(t, numeric, i) for i in (1, 2, 3))), of)
+
+    def by_words(t: Column) -> Column:
+        months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
 
-    def named(day: Column, month: Column, y: Column) -> Column:
-        known = F.lower(month).isin([x for m in MONTHS for x in (m, m[:3])]) | (F.lower(month) == "sept")
-        return F.when(known, _valid(y.try_cast("int"), number[F.lower(F.substring(month, 1, 3))], day.try_cast("int")))
+        def of(words: Column) -> Column:
+            named = F.filter(F.transform(words, lambda w: months[F.lower(F.substring(w, 1, 3))]), lambda m: m.isNotNull())
+            numbers = F.filter(F.transform(words, lambda w: F.regexp_extract(w, "^([+]?[0-9]+)[^0-9]*$", 1).try_cast("long")), lambda n: n.isNotNull())
+            day, year = F.filter(numbers, lambda n: n.between(1, 31)), F.filter(numbers, lambda n: n.between(1900, 2200))
+            return F.when(F.size(words) >= 3, _valid(F.try_element_at(year, F.lit(-1)), F.try_element_at(named, F.lit(-1)), F.try_element_at(day, F.lit(1))))
 
-    return F.coalesce(F.when(parts[0] != "", numeric), named(*dmy), named(mdy[1], mdy[0], mdy[2]))
+        return let(F.filter(F.split(t, f"(?:{_SPACE}|,)+"), lambda w: w != ""), of)
+
+    return let(strip(text), lambda t: F.coalesce(F.when(t.rlike(numeric), by_numbers(t)), by_words(t)))
+
+
+#: Types that may be expected, and the fields of `typed` that tell whether a text is of them.
+HINTS = {"date": "iso", "amount": "money.value", "percent": "percent", "number": "number", "email": "email", "phone": "phone"}
+
+
+def typed(text: Column, hint: str | None = None) -> Column:
+    """struct(kind, iso, number, currency, text) of a text: the hinted type if the text can be of it,
+    else email > percent > date > amount > phone > number > text. Empty and null are text."""
+
+    def choose(p: Column, s: Column) -> Column:
+        strict = p["money"]["value"].isNotNull() & (p["money"]["currency"].isNotNull() | is_money_shape(s))
+        kind = (
+            F.when(p["email"], "email").when(p["percent"].isNotNull(), "percent").when(p["iso"].isNotNull(), "date").when(strict, "amount")
+            .when(p["phone"].isNotNull() & s.rlike("^\\+|[()]|-.*-|-.* | .*-"), "phone").when(p["number"].isNotNull(), "number").otherwise("text")
+        )
+        if hint is not None:
+            field = p["money"]["value"] if hint == "amount" else p[HINTS[hint]]
+            kind = F.when(field if hint == "email" else field.isNotNull(), F.lit(hint)).otherwise(kind)
+        value = lambda k: F.struct(
+            k.alias("kind"), F.when(k == "date", p["iso"]).alias("iso"), F.when(k == "amount", p["money"]["value"]).when(k == "percent", p["percent"]).when(k == "number", p["number"]).alias("number"),
+            F.when(k == "amount", p["money"]["currency"]).alias("currency"), F.when(k == "phone", p["phone"]).when(k.isin("email", "text"), s).alias("text"),
+        )
+        return let(kind, value)
+
+    def parse(s: Column) -> Column:
+        parts = F.struct(is_email(s).alias("email"), percent(s).alias("percent"), date_iso(s).alias("iso"), money(s).alias("money"), phone_digits(s).alias("phone"), number(s).alias("number"))
+        return let(parts, lambda p: choose(p, s))
+
+    return let(strip(F.coalesce(text, F.lit(""))), parse)
 
 
 def value_type(text: Column) -> Column:
-    """email > percent > date > amount > phone > number > text."""
+    return typed(text).getField("kind")
+
+
+def rendered(value: Column) -> Column:
+    """The text of a typed value."""
+    plain = lambda n: F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.try_cast("long").cast("string")).otherwise(n.cast("string"))
     return (
-        F.when(is_email(text), "email").when(is_percent(text), "percent").when(date_iso(text).isNotNull(), "date").when(is_amount(text), "amount")
-        .when(is_phone(text), "phone").when(decimal(text).isNotNull(), "number").otherwise("text")
+        F.when(value["kind"] == "date", value["iso"]).when(value["kind"] == "amount", F.concat(F.format_string("%.2f", value["number"]), F.coalesce(F.concat(F.lit(" "), value["currency"]), F.lit(""))))
+        .when(value["kind"] == "percent", F.concat(plain(value["number"]), F.lit("%"))).when(value["kind"] == "number", plain(value["number"])).otherwise(value["text"])
     )
 
 

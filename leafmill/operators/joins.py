@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import is_caption
 
 
 def first_overlapping(blocks: DataFrame, links: DataFrame) -> DataFrame:
@@ -97,12 +98,20 @@ def _iou(a: tuple, b: tuple) -> float:
     return both / union if union > 0 else 0.0
 
 
-def claim_captions(figures: DataFrame, texts: DataFrame) -> DataFrame:
-    """Captions for figures and tables of a page: among short texts with half the width in
-    common, just below (2 - gap / line) or just above (1 - gap / line), one more for a caption word;
-    figures choose in order of id, and a text is claimed once."""
-    f = figures.select("doc_id", "page", F.lit(True).alias("figure"), "id", "x0", "y0", "x1", "y1", F.lit("").alias("text"))
-    t = texts.select("doc_id", "page", F.lit(False).alias("figure"), "id", "x0", "y0", "x1", "y1", "text")
+# A caption is at most so many line heights below or above.
+BELOW, ABOVE = 1.6, 1.2
+
+
+def claim_captions(figures: DataFrame, texts: DataFrame, line_height: float) -> DataFrame:
+    """Captions for figures and tables of a page: among texts of three lines at most that are not much
+    wider and have half the width in common, just below (2 - gap / limit) or just above (1 - gap / limit),
+    one more for a caption word; figures choose in order of id, the first of equal texts wins, and a text
+    is claimed once."""
+    f = figures.select("doc_id", "page", F.lit(True).alias("figure"), "id", "x0", "y0", "x1", "y1", F.lit(False).alias("opens"))
+    short = F.size(F.split(F.rtrim("text"), "\n")) <= 3
+    t = texts.filter(short).select("doc_id", "page", F.lit(False).alias("figure"), "id", "x0", "y0", "x1", "y1", is_caption(F.col("text")).alias("opens"))
+    sized = f.unionAll(t).filter("x1 > x0 AND y1 > y0")
+    below_most, above_most = BELOW * line_height, ABOVE * line_height
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free = list(pdf[~pdf.figure].sort_values("id").itertuples(index=False))
@@ -110,20 +119,15 @@ def claim_captions(figures: DataFrame, texts: DataFrame) -> DataFrame:
         for g in pdf[pdf.figure].sort_values("id").itertuples(index=False):
             best, score = None, None
             for c in free:
-                line = max(c.y1 - c.y0, 1e-9)
-                if c.x1 - c.x0 > 1.1 * (g.x1 - g.x0) or min(c.x1, g.x1) - max(c.x0, g.x0) < 0.5 * min(c.x1 - c.x0, g.x1 - g.x0):
+                if c.x1 - c.x0 > 1.1 * max(g.x1 - g.x0, 1.0) or min(c.x1, g.x1) - max(c.x0, g.x0) < 0.5 * min(c.x1 - c.x0, g.x1 - g.x0):
                     continue
-                below, above = (g.y0 - c.y1) / line, (c.y0 - g.y1) / line
-                s = 2 - below if 0 <= below <= 1.6 else 1 - above if 0 <= above <= 1.2 else None
-                if s is None:
-                    continue
-                s += c.text.lower().startswith(("figure", "fig", "table", "chart", "exhibit"))
-                if score is None or s > score:
-                    best, score = c, s
+                below, above = g.y0 - c.y1, c.y0 - g.y1
+                s = 2 - below / below_most if 0 <= below <= below_most else 1 - above / above_most if 0 <= above <= above_most else None
+                if s is not None and (score is None or s + c.opens > score):
+                    best, score = c, s + c.opens
             if best is not None:
                 free.remove(best)
                 out.append((g.doc_id, g.page, g.id, best.id, round(float(score), 6)))
         return pd.DataFrame(out, columns=["doc_id", "page", "figure", "caption", "score"])
 
-    return f.unionAll(t).groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, figure long, caption long, score double")
-
+    return sized.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, figure long, caption long, score double")

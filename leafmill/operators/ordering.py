@@ -109,11 +109,14 @@ def segment(text: str, terms: dict[str, int], longest: int) -> list[tuple[int, s
     return out
 
 
-def dictionary_matches(df: DataFrame, key: str, text: str, terms: list[str], most_terms: int = 100_000) -> DataFrame:
-    """(key, offset, term) of all dictionary terms. The dictionary's size is checked: it goes to
-    every task."""
-    if len(terms) > most_terms:
-        raise ValueError(f"a dictionary of {len(terms)} terms; {most_terms} are allowed")
+def dictionary_matches(df: DataFrame, key: str, text: str, terms: list[str], most_bytes: int = 16_000_000) -> DataFrame:
+    """(key, offset, term) of all dictionary terms, the longest from the left. A dictionary of most_bytes at most goes to
+    every task; a larger one is joined with the substrings of its terms' lengths, and the matches of a text are then
+    streamed in order."""
+    src = df.select(key, text)
+    schema = f"{key} {src.schema[key].dataType.simpleString()}, offset long, term string"
+    if sum(len(t.encode()) for t in terms) > most_bytes:
+        return _joined_matches(src, key, text, terms, schema)
     known, longest = {t: i for i, t in enumerate(terms)}, max(map(len, terms), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,5 +125,27 @@ def dictionary_matches(df: DataFrame, key: str, text: str, terms: list[str], mos
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.string()), strict=True)], [key, "offset", "term"])
 
-    src = df.select(key, text)
-    return src.mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, offset long, term string")
+    return src.mapInArrow(run, schema)
+
+
+def _joined_matches(src: DataFrame, key: str, text: str, terms: list[str], schema: str) -> DataFrame:
+    known = src.sparkSession.createDataFrame([(t, len(t)) for t in terms if t], "term string, size int")
+    sizes = F.array(*map(F.lit, sorted({len(t) for t in terms if t})))
+    rows = src.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.col(text).alias("_text")).filter("length(_text) > 0")
+    at = rows.select("_row", key, "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("_at")).select("_row", key, "_text", "_at", F.explode(sizes).alias("_size"))
+    parts = at.filter("_at + _size <= length(_text)").select("_row", key, F.col("_at").cast("long").alias("offset"), F.expr("substring(_text, _at + 1, _size)").alias("_part"))
+    hits = parts.join(known, F.col("_part") == F.col("term")).select("_row", key, "offset", "term", "size")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, end = None, 0
+        for batch in batches:
+            keep = []
+            for r, o, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if r != row:
+                    row, end = r, 0
+                keep.append(o >= end)
+                if keep[-1]:
+                    end = o + n
+            yield batch.select([1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return hits.repartition("_row").sortWithinPartitions("_row", "offset", F.desc("size")).mapInArrow(first, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +52,28 @@ def merge_documents(parts: list[DataFrame]) -> DataFrame:
 
 
 def capped_set(df: DataFrame, key: str, item: str, size: Column, order: str, most_items: int, most_bytes: int) -> DataFrame:
-    """Insertions into a set with bounds: the first of equal items counts, and an item is
-    refused once items or bytes are used up."""
-    d = df.withColumn("_s", size).withColumn("_first", F.row_number().over(W.partitionBy(key, item).orderBy(order))).filter("_first = 1")
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).withColumn("_b", F.sum("_s").over(w))
-    return d.filter((F.col("_n") <= most_items) & (F.col("_b") <= most_bytes)).drop("_s", "_first", "_n", "_b")
+    """Insertions into a set with bounds, in order: an item that is in the set already changes
+    nothing, one that would break a bound is refused and takes nothing, so that a smaller one
+    may still get in. What gets in depends on what got in before, so a key's rows are streamed
+    in order; the set, of most_items at most, is all that is held."""
+    src = df.select(key, item, order, size.cast("long").alias("_size")).repartition(key).sortWithinPartitions(key, order)
+    kinds = [src.schema[c].dataType.simpleString() for c in (key, item, order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, have, held = object(), set(), 0
+        for batch in batches:
+            keep = []
+            for k, i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if k != mine:
+                    mine, have, held = k, set(), 0
+                fits = i not in have and len(have) < most_items and held + n <= most_bytes
+                if fits:
+                    have.add(i)
+                    held += n
+                keep.append(fits)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return src.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in zip((key, item, order), kinds, strict=True)))
 
 
 def precision_recall(matched: Column, predicted: Column, expected: Column) -> dict[str, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as X
 from ..operators import joins as J
 from ..operators import layout as L
 from ..sources.tables import BLOCKS_SQL, line_blocks, table
@@ -35,13 +36,51 @@ def font_statistics(spark, sf_dir):
     return L.font_statistics(_blocks(spark, sf_dir))
 
 
-@query(r""", f AS (SELECT *, CASE WHEN idx % 20 < 2 THEN 'top' WHEN idx % 20 >= 18 THEN 'bottom' END AS band FROM b),
-p AS (SELECT doc_id, max(page) AS n_pages FROM b GROUP BY doc_id),
-rh AS (SELECT doc_id, band, CAST(floor(x0 / 50) AS INT) AS x_bucket, trim(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '', 'g'), '\s+', ' ', 'g')) AS running, count(DISTINCT page) AS pages
-  FROM f WHERE band IS NOT NULL AND n > 0 GROUP BY ALL)
+def _paged(spark, sf_dir):
+    """Blocks of pages of 612 by 792 points; every fourth document repeats a line at the foot of its
+    pages, every third numbers them."""
+    b = _blocks(spark, sf_dir)
+    last = F.col("idx") % 20 == 19
+    number = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Page "), "page", F.lit(" of 9"))).otherwise(F.lit("vii"))
+    text = F.when(last & (F.col("doc_id") % 4 == 1), F.concat(F.lit("Report  no "), "page")).when(last & (F.col("doc_id") % 3 == 0), number).otherwise(F.col("text"))
+    return b.withColumn("text", text).withColumn("page_width", F.lit(612.0)).withColumn("page_height", F.lit(792.0))
+
+
+_PAGED = r""", pg AS (SELECT * REPLACE (CASE WHEN idx % 20 = 19 AND doc_id % 4 = 1 THEN 'Report  no ' || page WHEN idx % 20 = 19 AND doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Page ' || page || ' of 9' ELSE 'vii' END ELSE text END AS text) FROM b),
+m AS (SELECT *, CASE WHEN y1 >= 792 * 0.88 THEN 'top' WHEN y0 <= 792 * 0.12 THEN 'bottom' END AS band, CAST(floor(x0 / 61.2) AS INT) AS x_bucket FROM pg WHERE x1 > x0 AND y1 > y0)"""
+
+
+@query(_PAGED + r""", p AS (SELECT doc_id, max(page) AS n_pages FROM pg GROUP BY doc_id),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '', 'g'), '\s+', ' ', 'g')) AS running FROM m WHERE band IS NOT NULL),
+rh AS (SELECT doc_id, band, x_bucket, running, count(DISTINCT page) AS pages FROM t WHERE running <> '' GROUP BY ALL)
 SELECT doc_id, band, x_bucket, running, pages, round(least(0.98, 0.5 + 0.4 * pages / n_pages), 6) AS confidence FROM rh JOIN p USING (doc_id) WHERE pages >= greatest(2, ceil(n_pages / 2.0))""")
 def running_headers(spark, sf_dir):
-    return L.running_headers(_blocks(spark, sf_dir))
+    return L.running_headers(_paged(spark, sf_dir))
+
+
+@query(_PAGED + r""", v AS (SELECT *, CASE WHEN text = 'vii' THEN 7 WHEN starts_with(text, 'Page ') THEN CAST(regexp_extract(text, '^Page ([0-9]+) of 9$', 1) AS BIGINT) WHEN regexp_matches(text, '^[0-9]{1,12}$') THEN CAST(text AS BIGINT) END AS number FROM m WHERE band IS NOT NULL),
+w AS (SELECT *, number - lag(number) OVER o = 1 AND page > lag(page) OVER o AS up, count(*) OVER (PARTITION BY doc_id, band, x_bucket) - 1 AS pairs FROM v WHERE number IS NOT NULL WINDOW o AS (PARTITION BY doc_id, band, x_bucket ORDER BY page, idx)),
+z AS (SELECT *, count(*) FILTER (up) OVER (PARTITION BY doc_id, band, x_bucket) AS ups FROM w)
+SELECT doc_id, idx, number, CASE WHEN ups * 2 >= pairs THEN 0.95 ELSE 0.6 END::DOUBLE AS confidence FROM z WHERE pairs > 0""")
+def page_numbers(spark, sf_dir):
+    return L.page_numbers(_paged(spark, sf_dir))
+
+
+@query(r""", f AS (SELECT doc_id, idx, text, font_size / 9.75 AS size_ratio, idx % 5 = 0 AS bold, idx % 3 = 0 AS italic, 1 + idx % 5 AS line_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count,
+  least(1.0, (x1 - x0) / 400) AS fill, regexp_matches(text, '[.!?:]\s*$') AS closed, 24.0 AS gap_above, 12.0 + idx % 8 AS line_height FROM b),
+s AS (SELECT *, greatest(0, least(1, CASE WHEN size_ratio >= 1.15 THEN 0.45 WHEN size_ratio >= 1.05 THEN 0.15 ELSE 0 END + CASE WHEN line_count <= 2 THEN 0.1 ELSE 0 END + CASE WHEN word_count <= 12 THEN 0.1 ELSE 0 END + CASE WHEN fill <= 0.6 THEN 0.1 ELSE 0 END
+    + CASE WHEN bold THEN 0.15 WHEN italic THEN 0.03 ELSE 0 END + CASE WHEN gap_above >= 1.5 * line_height THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(text, '^\s*((?i:chapter|section|appendix) \s*[0-9A-Za-z]|[0-9][0-9.]{0,11}\s)') THEN 0.2 ELSE 0 END
+    - CASE WHEN closed AND word_count > 12 THEN 0.25 ELSE 0 END - CASE WHEN line_count >= 4 THEN 0.3 ELSE 0 END)) AS h,
+  greatest(0, least(1, 0.55 + CASE WHEN line_count >= 2 THEN 0.1 ELSE 0 END + CASE WHEN closed THEN 0.1 ELSE 0 END + CASE WHEN fill >= 0.6 THEN 0.1 ELSE 0 END + CASE WHEN size_ratio BETWEEN 0.95 AND 1.1 THEN 0.1 ELSE 0 END
+    - CASE WHEN bold AND word_count <= 12 THEN 0.2 ELSE 0 END - CASE WHEN word_count <= 2 AND line_count = 1 AND NOT closed THEN 0.25 ELSE 0 END)) AS p FROM f)
+SELECT doc_id, idx, CASE WHEN greatest(round(h, 9), round(p, 9)) < 0.5 THEN 'text' WHEN round(p, 9) > round(h, 9) THEN 'paragraph' ELSE 'heading' END AS class, round(greatest(h, p)::DOUBLE, 6) AS score FROM s""")
+def block_classes(spark, sf_dir):
+    c = F.col
+    f = _blocks(spark, sf_dir).select(
+        "doc_id", "idx", "text", (c("font_size") / 9.75).alias("size_ratio"), (c("idx") % 5 == 0).alias("bold"), (c("idx") % 3 == 0).alias("italic"), (1 + c("idx") % 5).alias("line_count"),
+        F.size(F.filter(F.split("text", "(?U)\\s+"), lambda w: w != "")).alias("word_count"), F.least(F.lit(1.0), (c("x1") - c("x0")) / 400).alias("fill"), X.ends_sentence(c("text")).alias("closed"), F.lit(24.0).alias("gap_above"), (12.0 + c("idx") % 8).alias("line_height"),
+    )
+    return L.classified(f).select("doc_id", "idx", "class", F.round("score", 6).alias("score"))
 
 
 @query(""" SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY page, y1 DESC, x0, idx) - 1 AS reading,
@@ -187,7 +226,9 @@ def rotated_boxes(spark, sf_dir):
 @query()
 def proposal_suppression(spark, sf_dir):
     """Greedy; compared with brute force in the tests."""
-    return J.suppress(_proposals(_blocks(spark, sf_dir)), 0.25)
+    p = _proposals(_blocks(spark, sf_dir))
+    shifted = p.withColumn("id", F.col("id") + 1_000_000).withColumn("confidence", F.col("confidence") - 0.5).withColumn("x0", F.col("x0") + 6.0 * (F.col("id") % 9))
+    return J.suppress(p.unionByName(shifted), 0.70)
 
 
 @query()
@@ -195,4 +236,4 @@ def caption_claims(spark, sf_dir):
     """Greedy; compared with brute force in the tests."""
     b = _blocks(spark, sf_dir)
     texts = b.filter("kind = 'heading'").select("doc_id", "page", F.col("idx").alias("id"), "x0", (F.col("y0") + 20).alias("y0"), "x1", (F.col("y1") + 20).alias("y1"), "text")
-    return J.claim_captions(_tables(b), texts)
+    return J.claim_captions(_tables(b), texts, 12.0)

@@ -35,7 +35,7 @@ def lang_token_stats(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("t").alias("tokens"), F.max("t").alias("most"))
 
 
-@query("SELECT min(doc_id) AS canonical, count(*) AS copies, array_to_string(list_sort(list(doc_id))[2:], ',') AS duplicates FROM documents GROUP BY sha256(text)")
+@query("SELECT min(doc_id) AS canonical, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def exact_dedup_groups(spark, sf_dir):
     return hashes.dedup_groups(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
@@ -97,17 +97,23 @@ def document_fingerprint(spark, sf_dir):
     return hashes.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
-@query(f"""WITH {BLOCKS_SQL}
-SELECT doc_id, count(*) AS blocks, count(*) FILTER (regexp_matches(text, '^[\\x{{2022}}\\x{{25E6}}\\x{{25AA}}\\x{{25AB}}\\x{{2023}}\\x{{2043}}\\x{{25CF}}\\x{{25CB}}*-]\\s+\\S')) AS bullets,
-  count(*) FILTER (regexp_matches(text, '^(\\([0-9]{{1,3}}\\)|\\[[0-9a-zA-Z]{{1,3}}\\]|[0-9]{{1,3}}[.)]|[a-zA-Z][.)]|[ivxlcdm]+[.)]|[IVXLCDM]+[.)])\\s+\\S')) AS enumerated,
-  count(*) FILTER (regexp_matches(text, '^((Chapter|Section|Appendix|Part)\\s+\\S|[0-9]+(\\.[0-9]+)*\\.?\\s+\\S)')) AS headings,
-  count(*) FILTER (regexp_matches(text, '[.!?:]\\s*$')) AS closed,
-  count(*) FILTER (regexp_matches({_LOW}, '^(figure|fig|table|tbl|chart|scheme|plate|exhibit|listing|algorithm|equation)\\.?\\s+[0-9ivxlcdm]+')) AS captions
-FROM b GROUP BY doc_id""")
+# what lines open with; which roles these give them is in the SQL alone
+_OPENINGS = (
+    "• ", "– ", "· ", "● ", "  ∙\t", "-", "(a) ", "(iv) ", "[abc] ", "[12] ", "iv. ", "IV) ", "iV. ", "1234. ", "CHAPTER 2 ", "Part II ", "appendix a ", "1.2.3 ", "7. ", "Fig. 3 ", "eq. x ", "algorithm 1 ", "Figures 2 ", "TABLE a ", "Table: 1 ", "chart.b ", "",
+)
+_ROLES = "(0, 'b'), (1, 'b'), (2, 'b'), (4, 'b'), (6, 'e'), (7, 'e'), (9, 'e'), (10, 'e'), (11, 'e'), (13, 's'), (14, 's'), (16, 's'), (17, 's'), (18, 'es'), (19, 'c'), (20, 'c'), (23, 'c'), (25, 'c')"
+
+
+@query(f"""WITH {BLOCKS_SQL}, r(k, roles) AS (VALUES {_ROLES}), x AS (SELECT b.*, coalesce(roles, '') AS roles FROM b LEFT JOIN r ON (doc_id + idx) % {len(_OPENINGS)} = k)
+SELECT doc_id, count(*) AS blocks, count(*) FILTER (contains(roles, 'b')) AS bullets, count(*) FILTER (contains(roles, 'e')) AS enumerated, count(*) FILTER (contains(roles, 's')) AS headings,
+  count(*) FILTER (regexp_matches('word ' || text, '[.!?:]\\s*$')) AS closed, count(*) FILTER (contains(roles, 'c')) AS captions, count(*) FILTER (contains(roles, 'b') OR contains(roles, 'e')) AS bare FROM x GROUP BY doc_id""")
 def line_roles(spark, sf_dir):
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), ((F.col("doc_id") + F.col("idx")) % len(_OPENINGS) + 1).cast("int"))
+    b = line_blocks(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("word "), "text").alias("rest"), F.concat(opening, F.lit("word "), "text").alias("text"))
     t = F.col("text")
     tests = (("bullets", X.is_bullet), ("enumerated", X.is_enumerated), ("headings", X.is_section_heading), ("closed", X.ends_sentence), ("captions", X.is_caption))
-    return line_blocks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("blocks"), *(F.count_if(f(t)).alias(n) for n, f in tests))
+    listed = X.is_bullet(t) | X.is_enumerated(t)
+    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), *(F.count_if(f(t)).alias(n) for n, f in tests), F.count_if(listed & (X.strip_marker(t) == F.col("rest"))).alias("bare"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, a AS (SELECT doc_id, idx, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM b), p AS (SELECT doc_id, idx, text, lag(text) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM a)

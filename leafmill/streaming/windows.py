@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +40,34 @@ def _windows(times: Iterator[pd.Timestamp], span: pd.Timedelta, limit: int, anch
 def rate_windows(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Windows of fixed length that open at a key's first request and again at the first one
     after their end: requests and those beyond the limit (0: no limit). A window's anchor
-    depends on the one before, so a key's times are worked through in order."""
-    span = pd.Timedelta(seconds=seconds)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = _windows(iter(pdf.ts.sort_values()), span, limit)
-        return pd.DataFrame([(pdf.user_id.iloc[0], *f) for f in found], columns=["user_id", "anchor", "requests", "refused"])
-
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandas(run, RATE_SCHEMA)
+    depends on the one before, so a key's times are streamed in order; one window is held."""
+    span = seconds * 1_000_000
+    ordered = events.select("user_id", "ts").filter("ts IS NOT NULL").repartition("user_id").sortWithinPartitions("user_id", "ts")
+    kinds = [ordered.schema[c].dataType.simpleString() for c in ("user_id", "ts")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, anchor, used, done, types = None, None, 0, [], None
+
+        def told() -> pa.RecordBatch:
+            users, anchors, requests = list(zip(*done, strict=True)) or ([], [], [])
+            refused = [max(0, n - limit) if limit else 0 for n in requests]
+            return pa.record_batch([pa.array(users, types[0]), pa.array(anchors, pa.int64()).cast(types[1]), pa.array(requests, pa.int64()), pa.array(refused, pa.int64())], ["user_id", "anchor", "requests", "refused"])
+
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            for u, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), strict=True):
+                if u != user or anchor is None or t >= anchor + span:
+                    if anchor is not None:
+                        done.append((user, anchor, used))
+                    user, anchor, used = u, t, 0
+                used += 1
+            yield told()
+            done = []
+        if anchor is not None:
+            done.append((user, anchor, used))
+            yield told()
+
+    return ordered.mapInArrow(run, f"user_id {kinds[0]}, anchor {kinds[1]}, requests long, refused long")
 
 
 def rate_limit_stream(events: DataFrame, seconds: int, limit: int) -> DataFrame:

@@ -91,8 +91,8 @@ def test_suppression_is_greedy(spark):
 def test_captions_are_claimed_once(spark):
     figures = spark.createDataFrame([(1, 1, 1, 0.0, 100.0, 100.0, 200.0), (1, 1, 2, 0.0, 100.0, 100.0, 190.0)], "doc_id long, page int, id long, x0 double, y0 double, x1 double, y1 double")
     texts = spark.createDataFrame([(1, 1, 7, 0.0, 80.0, 90.0, 90.0, "Figure 1 x")], "doc_id long, page int, id long, x0 double, y0 double, x1 double, y1 double, text string")
-    got = joins.claim_captions(figures, texts).collect()
-    assert [(r.figure, r.caption, r.score) for r in got] == [(1, 7, 2.0)]
+    got = joins.claim_captions(figures, texts, 12.5).collect()
+    assert [(r.figure, r.caption, r.score) for r in got] == [(1, 7, 2.5)]
 
 
 def test_rate_limit_stream_equals_the_batch(spark, tmp_path):
