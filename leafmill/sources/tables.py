@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written as Parquet to the folder that spark.checkpoint.dir names, and read again: lineage ends
+    there, and a lost executor costs a re-read. Local Spark alone may go without such a setting."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='leafmill-checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def line_blocks(docs: DataFrame) -> DataFrame:
     """One block for each line of a text, on pages of 20 lines with a plain typewriter layout:
     doc_id, idx, page, text, n, x0, y0, x1, y1, font_size, confidence, kind."""
