@@ -3,6 +3,8 @@ profile, and scores of extracted fields. Labels and values meet inside a page.""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,3 +180,71 @@ def type_accuracy(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     p = predicted.select("doc_id", "idx", F.col("kind").alias("_k"))
     j = reference.join(p, ["doc_id", "idx"], "left")
     return j.groupBy("doc_id").agg(F.avg(F.coalesce((X.ascii_lower(F.col("kind")) == X.ascii_lower(F.col("_k"))).cast("double"), F.lit(0.0))).alias("accuracy"))
+
+
+# Labels whose value is one word, an amount, or nothing; what ends a value.
+ONE_WORD = ("account", "ref", "date", "due", "due date", "seat", "gate", "flight", "class", "booking", "email", "phone", "status", "priority")
+ONE_AMOUNT = ("total", "total due", "amount", "amount due", "balance", "closing balance")
+NO_VALUE = ("payment terms",)
+VALUE_ENDS = (" corpus document", " page ")
+
+
+def _escaped(label: str) -> str:
+    return re.sub(r"([^a-z0-9 ])", r"\\\1", label)
+
+
+_LABEL_AND_COLON = "(?i)(?<![a-zA-Z0-9])(" + "|".join(_escaped(x) for x in sorted(LABELS, key=lambda x: (-len(x), x))) + "):"
+
+
+def trimmed_value(text: Column) -> Column:
+    """A value up to what ends it, without dashes, bars and semicolons around."""
+    cut = F.regexp_replace(strip(text), f"(?is)(?:{'|'.join(VALUE_ENDS)}).*$", "")
+    return F.regexp_replace(cut, "^(?U:[-|;\\s])+|(?U:[-|;\\s])+$", "")
+
+
+def value_of(label: Column, text: Column) -> Column:
+    """What of a text behind a label is its value: one word, an amount with the code before it, a period's three words, a
+    reference by its mark, or all of it."""
+    k = X.ascii_lower(label)
+
+    def told(v: Column) -> Column:
+        words = F.filter(F.split(v, "(?U)\\s+"), lambda w: w != "")
+        first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+        two = F.when((F.size(words) >= 2) & first.rlike("^[A-Z]{3}$"), F.array_join(F.slice(words, F.lit(1), F.lit(2)), " ")).otherwise(first)
+        period = F.when((F.size(words) >= 3) & (F.lower(F.get(words, F.lit(1))) == "to"), F.array_join(F.slice(words, F.lit(1), F.lit(3)), " ")).otherwise(first)
+        return (
+            F.when(k.isin(*NO_VALUE), "").when(k == "period", period).when(k.isin(*ONE_WORD), first).when((k == "reference") & F.upper(first).startswith("REF-"), first).when(k.isin(*ONE_AMOUNT), two).otherwise(v)
+        )
+
+    return V.let(trimmed_value(text), told)
+
+
+def inline_pairs(text: Column) -> Column:
+    """array of struct(label, value) of 'Label: value' inside of one text: each known label with a colon has what stands before
+    the next one; without any, a label before the first colon has the rest. Pairs without a value are left out."""
+    labels = F.transform(F.regexp_extract_all(text, F.lit(_LABEL_AND_COLON), F.lit(1)), X.ascii_lower)
+    known = F.zip_with(labels, F.slice(F.split(text, _LABEL_AND_COLON, -1), F.lit(2), F.greatest(F.size(labels), F.lit(0))), lambda a, b: F.struct(a.alias("label"), value_of(a, b).alias("value")))
+    before, behind = strip(F.regexp_extract(text, "(?s)^([^:]*):", 1)), F.regexp_extract(text, "(?s)^[^:]*:(.*)$", 1)
+    single = F.when(text.contains(":") & is_label(before), F.array(F.struct(strip_label(before).alias("label"), value_of(strip_label(before), behind).alias("value"))))
+    none = F.array().cast("array<struct<label:string,value:string>>")
+    return F.filter(F.when(F.size(labels) > 0, known).otherwise(F.coalesce(single, none)), lambda p: p["value"] != "")
+
+
+def row_pair(row: Column) -> Column:
+    """struct(label, value) of a table row whose only two filled cells are a label and something else, or null."""
+    filled = F.filter(F.transform(row, strip), lambda c: c != "")
+    return V.let(filled, lambda c: F.when((F.size(c) == 2) & is_label(c[0]) & ~is_label(F.get(c, F.lit(1))), F.struct(strip_label(c[0]).alias("label"), F.get(c, F.lit(1)).alias("value"))))
+
+
+def below_pairs(row: Column, below: Column) -> Column:
+    """array of struct(label, value) of a row of two to four labels and nothing else, and the row below it, where that has a
+    value under each."""
+
+    def told(cells: Column) -> Column:
+        under = lambda c: strip(F.coalesce(F.get(below, c["at"]), F.lit("")))
+        good = F.size(cells).between(2, 4) & F.forall(cells, lambda c: is_label(c["text"]) & (under(c) != "") & ~is_label(under(c)))
+        pairs = F.transform(cells, lambda c: F.struct(strip_label(c["text"]).alias("label"), trimmed_value(under(c)).alias("value")))
+        return F.when(good, pairs).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
+
+    cells = F.filter(F.transform(row, lambda t, i: F.struct(i.alias("at"), t.alias("text"))), lambda c: strip(c["text"]) != "")
+    return V.let(cells, told)

@@ -104,7 +104,7 @@ def token_matches(spark, sf_dir):
     pairs = t.select(F.explode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("y"))).alias("p")).filter("p.x = 'the' AND p.y IS NOT NULL")
     first = pairs.groupBy("p.y").count().orderBy(F.desc("count"), "y").first()
     query_ = F.array(F.lit("the"), F.lit(first[0] if first else "the"))
-    return t.select("doc_id", F.explode(S.token_matches(F.col("w"), query_)).cast("long").alias("at"))
+    return t.select("doc_id", F.explode(S.token_matches(F.col("w"), query_)).alias("at")).select("doc_id", F.col("at").cast("long").alias("at"))
 
 
 @query(r""" SELECT doc_id, '[' || string_agg('{"id":' || idx || ',"page":' || page || ',"kind":"' || kind || '","digest":"' || md5(text) || '","bbox":[' || CAST(x0 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']}', ',' ORDER BY idx) || ']' AS blocks FROM b GROUP BY doc_id""")

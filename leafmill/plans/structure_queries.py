@@ -196,3 +196,28 @@ def field_json(spark, sf_dir):
     f = D.spatial_fields(_forms(spark, sf_dir)).select("doc_id", F.struct("idx", "key", "raw", F.col("typed.kind").alias("type")).alias("f"))
     ordered = F.transform(F.array_sort(F.collect_list("f")), lambda x: F.struct(x["key"].alias("key"), x["raw"].alias("raw"), x["type"].alias("type")))
     return f.groupBy("doc_id").agg(F.to_json(ordered).alias("fields"))
+
+
+_LINES = (
+    ("Account: AC-1 x Period: 2026-01 to 2026-02 and on", "account=AC-1;period=2026-01 to 2026-02"), ("Total Due: USD 5.00 thanks", "total due=USD 5.00"), ("Invoice Date: 2024-01-05 - Due Date: 2024-02-05 | PO #: 77", "invoice date=2024-01-05;due date=2024-02-05;po #=77"),
+    ("Payment terms: 30 days", ""), ("Total : $9", "Total=$9"), ("Note: nothing", ""), ("subtotal:", ""), ("Reference: ref-9 more", "reference=ref-9"), ("Reference: nine more", "reference=nine more"), ("my total: 7 8", "total=7"), ("mytotal: 7 8", ""), ("Name: Bob Page 7 of 9", "name=Bob"), ("", ""),
+)
+
+
+@query("WITH t(k, pairs) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(_LINES)) + f") SELECT p_partkey, pairs FROM part JOIN t ON p_partkey % {len(_LINES)} = k")
+def inline_fields(spark, sf_dir):
+    """Labels and values inside of one line."""
+    t = F.element_at(F.array(*(F.lit(x) for x, _ in _LINES)), (F.col("p_partkey") % len(_LINES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(D.inline_pairs(t), lambda p: F.concat(p["label"], F.lit("="), p["value"])), ";").alias("pairs"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Name=' || p_name END AS in_row, CASE p_partkey % 4 WHEN 0 THEN 'Date=2024-01-05;Total=$' || p_partkey WHEN 3 THEN 'Date=2024-01-05;Total=x;Class=y' ELSE '' END AS below FROM part""")
+def cell_fields(spark, sf_dir):
+    """Labels and values in cells of tables: side by side, and below each other."""
+    k, s = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    lit = lambda *x: F.array(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    row = F.when(k == 0, lit("", "Name:", "", F.col("p_name"))).when(k == 1, lit("Name:", "Total:")).when(k == 2, lit("no label", "x")).otherwise(lit("Name:", "a", "b"))
+    heads = F.when(k == 0, lit("Date", "", "Total:")).when(k == 1, lit("Date", "other")).when(k == 2, lit("Date", "Total")).otherwise(lit("Date", "Total", "Class"))
+    under = F.when(k == 0, lit("2024-01-05 |", "x", F.concat(F.lit("$"), s))).when(k == 1, lit("a", "b")).when(k == 2, lit("a")).otherwise(lit("2024-01-05", "x", "y"))
+    shown = lambda p: F.concat(p["label"], F.lit("="), p["value"])
+    return table(spark, sf_dir, "part").select("p_partkey", shown(D.row_pair(row)).alias("in_row"), F.array_join(F.transform(D.below_pairs(heads, under), shown), ";").alias("below"))
