@@ -6,6 +6,7 @@ worked out once and the expression's size stays that of its text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -175,8 +176,9 @@ def date_iso(text: Column) -> Column:
 HINTS = {"date": "iso", "amount": "money.value", "percent": "percent", "number": "number", "email": "email", "phone": "phone"}
 
 
-def typed(text: Column, hint: str | None = None) -> Column:
-    """struct(kind, iso, number, currency, text) of a text: the hinted type if the text can be of it,
+def typed(text: Column, hint: str | Column | None = None) -> Column:
+    """struct(kind, iso, number, currency, text) of a text: the hinted type if the text can be of it (a column may
+    name another one in each row),
     else email > percent > date > amount > phone > number > text. Empty and null are text."""
 
     def choose(p: Column, s: Column) -> Column:
@@ -186,8 +188,10 @@ def typed(text: Column, hint: str | None = None) -> Column:
             .when(p["phone"].isNotNull() & s.rlike("^\\+|[()]|-.*-|-.* | .*-"), "phone").when(p["number"].isNotNull(), "number").otherwise("text")
         )
         if hint is not None:
-            field = p["money"]["value"] if hint == "amount" else p[HINTS[hint]]
-            kind = F.when(field if hint == "email" else field.isNotNull(), F.lit(hint)).otherwise(kind)
+            wanted = F.lit(hint) if isinstance(hint, str) else hint
+            can = {h: p["money"]["value"].isNotNull() if h == "amount" else p["email"] if h == "email" else p[f].isNotNull() for h, f in HINTS.items() if not isinstance(hint, str) or h == hint}
+            fits = functools.reduce(lambda a, b: a | b, ((wanted == h) & test for h, test in can.items()))
+            kind = F.when(fits, wanted).otherwise(kind)
         value = lambda k: F.struct(
             k.alias("kind"), F.when(k == "date", p["iso"]).alias("iso"), F.when(k == "amount", p["money"]["value"]).when(k == "percent", p["percent"]).when(k == "number", p["number"]).alias("number"),
             F.when(k == "amount", p["money"]["currency"]).alias("currency"), F.when(k == "phone", p["phone"]).when(k.isin("email", "text"), s).alias("text"),

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
 from ..functions.values import strip
+from ..sources.tables import written
+from .groups import in_groups
 
 # Phrases that are labels without a colon.
 LABELS = (
@@ -63,10 +64,7 @@ def hint(label: Column) -> Column:
 
 def hinted(text: Column, of: Column) -> Column:
     """values.typed with a hint that differs from row to row."""
-    out = V.typed(text)
-    for h in V.HINTS:
-        out = F.when(of == h, V.typed(text, h)).otherwise(out)
-    return out
+    return V.typed(text, of)
 
 
 def neighbours(frags: DataFrame) -> DataFrame:
@@ -76,37 +74,36 @@ def neighbours(frags: DataFrame) -> DataFrame:
     text, box. A page is worked through in order; its fragments are few."""
     schema = "doc_id long, page int, label long, value long, place string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("idx").itertuples(index=False))
+    def work(rows: list[tuple]) -> list[tuple]:
         taken, out = set(), []
-        for a in rows:
-            if not a.is_label or a.idx in taken:
+        for doc, page, i, ax0, ay0, ax1, ay1, label in rows:
+            if not label or i in taken:
                 continue
-            height = abs(a.y1 - a.y0)
-            slack, middle = max(0.6 * height, 2.0), (a.y0 + a.y1) / 2
+            height = abs(ay1 - ay0)
+            slack, middle = max(0.6 * height, 2.0), (ay0 + ay1) / 2
             best = None
-            for b in rows:
-                if b.idx == a.idx or b.idx in taken or b.is_label:
+            for _, _, j, x0, y0, x1, y1, other in rows:
+                if j == i or j in taken or other:
                     continue
-                off = (b.y0 + b.y1) / 2 - middle
+                off = (y0 + y1) / 2 - middle
                 level = abs(off) <= slack
-                if level and b.x0 >= a.x1 - slack:
-                    place, cost = "right", max(b.x0 - a.x1, 0.0)
-                elif level and b.x1 <= a.x0 + slack:
-                    place, cost = "left", max(a.x0 - b.x1, 0.0) + 1000
-                elif off < -slack and abs(b.x0 - a.x0) <= 2 * max(height, 6.0):
+                if level and x0 >= ax1 - slack:
+                    place, cost = "right", max(x0 - ax1, 0.0)
+                elif level and x1 <= ax0 + slack:
+                    place, cost = "left", max(ax0 - x1, 0.0) + 1000
+                elif off < -slack and abs(x0 - ax0) <= 2 * max(height, 6.0):
                     place, cost = "below", 500 - off
                 else:
                     continue
                 if best is None or cost < best[0]:
-                    best = cost, b.idx, place
+                    best = cost, j, place
             if best is not None:
-                taken |= {a.idx, best[1]}
-                out.append((a.doc_id, a.page, a.idx, best[1], best[2]))
-        return pd.DataFrame(out, columns=["doc_id", "page", "label", "value", "place"])
+                taken |= {i, best[1]}
+                out.append((doc, page, i, best[1], best[2]))
+        return out
 
     src = frags.select("doc_id", "page", "idx", "x0", "y0", "x1", "y1", is_label(F.col("text")).alias("is_label"))
-    return src.groupBy("doc_id", "page").applyInPandas(run, schema)
+    return in_groups(src, 2, schema, work)
 
 
 def spatial_fields(frags: DataFrame) -> DataFrame:
@@ -138,22 +135,24 @@ def apply_profile(fields: DataFrame, profile: tuple = INVOICE) -> DataFrame:
     """fields (doc_id, idx, key, raw, ...) with canonical: the profile's name, or null for fields that
     are left over; leftovers that repeat a canonical field's name and value are dropped. The profile's fields
     choose in its order: the best name, then the first field, and a field is used once."""
+    fields = written(fields, "fields")  # read three times
     names = [(o, key, rank, syn) for o, (key, syns, _) in enumerate(profile) for rank, syn in enumerate(syns)]
     # a few dozen names, by the profile's own size
     p = fields.sparkSession.createDataFrame(names, "o int, canonical string, rank int, synonym string")
-    # the reference's first name that fits decides a field's rank
-    hits = fields.select("doc_id", "idx", "key").join(F.broadcast(p), label_matches(F.col("key"), F.col("synonym"))).groupBy("doc_id", "idx", "o", "canonical").agg(F.min("rank").alias("rank"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        for (_, canonical), g in pdf.sort_values(["o", "rank", "idx"]).groupby(["o", "canonical"], sort=False):
-            i = next((i for i in g.idx if i not in used), None)
-            if i is not None:
+    # a field's rank is that of the first name that fits; labels are few, so each is matched once
+    told = fields.select("key").distinct().join(F.broadcast(p), label_matches(F.col("key"), F.col("synonym"))).groupBy("key", "o", "canonical").agg(F.min("rank").alias("rank"))
+    hits = fields.select("doc_id", "idx", "key").join(told, "key")
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        out, used, done = [], set(), set()
+        for doc, o, _, i, canonical in rows:
+            if o not in done and i not in used:
                 used.add(i)
-                out.append((pdf.doc_id.iloc[0], i, canonical))
-        return pd.DataFrame(out, columns=["doc_id", "idx", "canonical"])
+                done.add(o)
+                out.append((doc, i, canonical))
+        return out
 
-    chosen = hits.groupBy("doc_id").applyInPandas(run, "doc_id long, idx long, canonical string")
+    chosen = in_groups(hits.select("doc_id", "o", "rank", "idx", "canonical"), 1, "doc_id long, idx long, canonical string", work)
     named = fields.join(chosen, ["doc_id", "idx"], "left")
     own = named.filter("canonical IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("canonical").alias("_c"), F.col("raw").alias("_r"))
     again = F.col("canonical").isNull() & (F.col("doc_id") == F.col("_d")) & label_matches(F.col("key"), F.col("_c")) & (X.ascii_lower(F.col("raw")) == X.ascii_lower(F.col("_r")))
