@@ -94,7 +94,9 @@ def variants(fp: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-    a, b = rows.alias("a"), rows.alias("b")
+    """Linked pairs of rows with equal `on`. Spark takes the size of exploded rows for that of their source, so
+    that it would gather and send out tables of 64 times the size: the hint keeps it from that."""
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     near = F.expr(f"a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {MOST_DIFFERENT}")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     both = same[0]

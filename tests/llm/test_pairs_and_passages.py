@@ -201,3 +201,10 @@ def test_empty_tables(spark, tmp_path):
     assert decontamination.drop_contaminated(docs_of(spark, corpus()), bench).count() == len(corpus())
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert substring_dedup.op3_substring_dedup(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("heavy", "joins"), [((simhash.HEAVY, simhash.HEAVIER), 1), ((0, 8), 3)])
+def test_variants_are_never_sent_out(spark, heavy, joins):
+    """Spark takes 64 rows a fingerprint for one, and broadcast them where that looked small."""
+    found = simhash.links(spark.range(40).selectExpr("xxhash64(id) AS fp"), *heavy)
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == joins
