@@ -37,8 +37,9 @@ from ._shared import LOWER, bitmap, discard, in_bitmap, materialize, pieces, rea
 SHINGLE, SEED, MOST_DIFFERENT = 3, 42, 3
 #: A variant shared by more fingerprints than this is cut again, by four or six parts of the other segment.
 HEAVY, HEAVIER = 256, 65_536
-#: Shingles whose bits are held at once.
-SLICE = 200_000
+#: Shingles whose bits, and bytes of text whose words, are held at once: a fingerprinting worker needs little
+#: beside its batch, since two of them share an executor with a heap that other stages have filled.
+SLICE, PIECE = 16_384, 250_000
 
 
 def simhash(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,7 +47,7 @@ def simhash(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     buf, at = text_buffer(col)
     out = np.zeros(len(at) - 1, np.uint64)
     digest = xxhash.xxh64_intdigest
-    for i, j, part, off in pieces(buf, at):
+    for i, j, part, off in pieces(buf, at, PIECE):
         part = LOWER[part]
         starts, ends, first = word_spans(part, off)
         if not len(starts):

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -208,3 +210,15 @@ def test_variants_are_never_sent_out(spark, heavy, joins):
     """Spark takes 64 rows a fingerprint for one, and broadcast them where that looked small."""
     found = simhash.links(spark.range(40).selectExpr("xxhash64(id) AS fp"), *heavy)
     assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == joins
+
+
+def test_fingerprints_in_little_memory():
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["ab", "Cde", "fgh", "ij"]) + str(r.randrange(99)) for _ in range(200)) for _ in range(1500)] + [None, "", "x " * 90_000]
+    col = pa.array(texts)
+    tracemalloc.start()
+    got = simhash.simhash(col)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    assert got[-4:].tolist() == [fingerprint(t) for t in texts[-4:]]
