@@ -68,52 +68,53 @@ def hinted(text: Column, of: Column) -> Column:
 
 
 def neighbours(frags: DataFrame) -> DataFrame:
-    """Pairs of labels and values: doc_id, page, label (idx), value (idx), place. A label takes the cheapest
-    text that is no label: to its right on the line (by distance), to its left (1000 more), or below with about
-    the same left edge (500 more); labels choose in order and a text is taken once. frags: doc_id, page, idx,
-    text, box. A page is worked through in order; its fragments are few."""
-    schema = "doc_id long, page int, label long, value long, place string"
+    """Pairs of labels and values: doc_id, page, label (idx), value (idx), place, label_text, raw and the value's confidence. A
+    label takes the cheapest text that is no label: to its right on the line (by distance), to its left (1000 more), or below with
+    about the same left edge (500 more); labels choose in order and a text is taken once. frags: doc_id, page, idx, text, box,
+    confidence. A page is worked through in order; its fragments are few, and their texts come along, so that nothing is joined
+    back."""
+    schema = "doc_id long, page int, label long, value long, place string, label_text string, raw string, confidence double"
 
     def work(rows: list[tuple]) -> list[tuple]:
         taken, out = set(), []
-        for doc, page, i, ax0, ay0, ax1, ay1, label in rows:
+        values = [(j, x0, x1, (y0 + y1) / 2, text, sure) for _, _, j, x0, y0, x1, y1, text, sure, label in rows if not label]
+        for doc, page, i, ax0, ay0, ax1, ay1, label_text, _, label in rows:
             if not label or i in taken:
                 continue
             height = abs(ay1 - ay0)
-            slack, middle = max(0.6 * height, 2.0), (ay0 + ay1) / 2
+            slack, middle, apart = max(0.6 * height, 2.0), (ay0 + ay1) / 2, 2 * max(height, 6.0)
             best = None
-            for _, _, j, x0, y0, x1, y1, other in rows:
-                if j == i or j in taken or other:
-                    continue
-                off = (y0 + y1) / 2 - middle
-                level = abs(off) <= slack
-                if level and x0 >= ax1 - slack:
-                    place, cost = "right", max(x0 - ax1, 0.0)
-                elif level and x1 <= ax0 + slack:
-                    place, cost = "left", max(ax0 - x1, 0.0) + 1000
-                elif off < -slack and abs(x0 - ax0) <= 2 * max(height, 6.0):
+            for value in values:
+                j, x0, x1, y, _, _ = value
+                off = y - middle
+                if abs(off) <= slack:
+                    if x0 >= ax1 - slack:
+                        place, cost = "right", max(x0 - ax1, 0.0)
+                    elif x1 <= ax0 + slack:
+                        place, cost = "left", max(ax0 - x1, 0.0) + 1000
+                    else:
+                        continue
+                elif off < -slack and abs(x0 - ax0) <= apart:
                     place, cost = "below", 500 - off
                 else:
                     continue
-                if best is None or cost < best[0]:
-                    best = cost, j, place
+                if (best is None or cost < best[0]) and j != i and j not in taken:
+                    best = cost, place, value
             if best is not None:
-                taken |= {i, best[1]}
-                out.append((doc, page, i, best[1], best[2]))
+                _, place, (j, _, _, _, text, sure) = best
+                taken |= {i, j}
+                out.append((doc, page, i, j, place, label_text, text, sure))
         return out
 
-    src = frags.select("doc_id", "page", "idx", "x0", "y0", "x1", "y1", is_label(F.col("text")).alias("is_label"))
-    return in_groups(src, 2, schema, work)
+    src = frags.select("doc_id", "page", "idx", "x0", "y0", "x1", "y1", "text", F.col("confidence").cast("double").alias("confidence"))
+    return in_groups(src, 2, schema, work, (is_label(F.col("text")).alias("is_label"),))
 
 
 def spatial_fields(frags: DataFrame) -> DataFrame:
     """doc_id, page, idx (of the label), key, raw, place, the typed value and a confidence: a label without a colon counts 0.8, a text
     where a type was promised 0.6 and elsewhere 0.9, times the place's strength and the value's own confidence.
     frags: as in neighbours, with confidence."""
-    a = frags.select("doc_id", "idx", F.col("text").alias("label_text"))
-    b = frags.select("doc_id", F.col("idx").alias("value"), F.col("text").alias("raw"), "confidence")
-    j = neighbours(frags).join(a.withColumnRenamed("idx", "label"), ["doc_id", "label"]).join(b, ["doc_id", "value"])
-    j = j.withColumn("key", strip_label(F.col("label_text"))).withColumn("hint", hint(F.col("key"))).withColumn("raw", strip(F.col("raw")))
+    j = neighbours(frags).withColumn("key", strip_label(F.col("label_text"))).withColumn("hint", hint(F.col("key"))).withColumn("raw", strip(F.col("raw")))
     j = j.withColumn("typed", hinted(F.col("raw"), F.col("hint")))
     strength = F.create_map(*[F.lit(x) for pair in STRENGTH.items() for x in pair])[F.col("place")]
     pattern = F.when(F.col("typed.kind") != "text", 1.0).when(F.col("hint") == "any", 0.9).otherwise(0.6)

@@ -6,17 +6,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
-def in_groups(df: DataFrame, keys: int, schema: str, work: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+def _values(col: pa.Array) -> list:
+    """to_pylist by way of numpy, where that gives the same values in a tenth of the time."""
+    kind = col.type
+    if pa.types.is_string(kind) or pa.types.is_boolean(kind) or (not col.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind))):
+        return col.to_numpy(zero_copy_only=False).tolist()
+    return col.to_pylist()
+
+
+def in_groups(df: DataFrame, keys: int, schema: str, work: Callable[[list[tuple]], list[tuple]], more: tuple[Column, ...] = ()) -> DataFrame:
     """Rows of equal first `keys` columns, sorted by all columns from the left, go through `work` together, which
-    gives rows of the schema."""
+    gives rows of the schema. `more` columns are worked out behind the shuffle, where all tasks share them. Their number is
+    fixed, as rows that compress well would be put together into a few tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
-    src = df.repartition(*df.columns[:keys]).sortWithinPartitions(*df.columns)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = df.repartition(tasks, *df.columns[:keys]).sortWithinPartitions(*df.columns).select(*df.columns, *more)
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[]] * len(arrow)
@@ -26,7 +36,7 @@ def in_groups(df: DataFrame, keys: int, schema: str, work: Callable[[list[tuple]
         group, rows = None, []
         for batch in batches:
             out: list[tuple] = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r in zip(*map(_values, batch.columns), strict=True):
                 if r[:keys] != group:
                     if rows:
                         out += work(rows)

@@ -200,3 +200,13 @@ def test_bounded_sessions(spark):
         if not full:
             s[session] = ts
         assert got[i] == (new and not full, full, len(s))
+
+
+def test_fields_are_never_sent_out(spark):
+    """Values come with their labels, and no join broadcasts all fragments or fields, whose sizes Spark takes for small."""
+    rows = [(1, 1, 0, "Total Due:", 72.0, 700.0, 170.0, 710.0, 1.0), (1, 1, 1, "$5.00", 200.0, 701.0, 260.0, 711.0, 0.5), (1, 2, 0, "Date", 72.0, 660.0, 100.0, 670.0, 1.0), (1, 2, 1, " 2024-01-05", 74.0, 640.0, 140.0, 650.0, 1.0), (None, 1, 0, "Tax:", 72.0, 700.0, 170.0, 710.0, 1.0), (None, 1, 1, None, 200.0, 701.0, 260.0, 711.0, None)]
+    f = fields.spatial_fields(spark.createDataFrame(rows, "doc_id long, page int, idx long, text string, x0 double, y0 double, x1 double, y1 double, confidence double"))
+    # numbers of fragments that start again on each page, and a document without an id
+    assert {(r.doc_id, r.page, r.key, r.raw, r.place) for r in f.collect()} == {(1, 1, "Total Due", "$5.00", "right"), (1, 2, "Date", "2024-01-05", "below"), (None, 1, "Tax", None, "right")}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(f)
