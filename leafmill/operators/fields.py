@@ -135,14 +135,15 @@ def label_matches(found: Column, synonym: Column) -> Column:
 def apply_profile(fields: DataFrame, profile: tuple = INVOICE) -> DataFrame:
     """fields (doc_id, idx, key, raw, ...) with canonical: the profile's name, or null for fields that
     are left over; leftovers that repeat a canonical field's name and value are dropped. The profile's fields
-    choose in its order: the best name, then the first field, and a field is used once."""
+    choose in its order: the best name, then the first field, and a field is used once. Hints keep Spark from sending out all
+    fields where their files are small."""
     fields = written(fields, "fields")  # read three times
     names = [(o, key, rank, syn) for o, (key, syns, _) in enumerate(profile) for rank, syn in enumerate(syns)]
     # a few dozen names, by the profile's own size
     p = fields.sparkSession.createDataFrame(names, "o int, canonical string, rank int, synonym string")
     # a field's rank is that of the first name that fits; labels are few, so each is matched once
     told = fields.select("key").distinct().join(F.broadcast(p), label_matches(F.col("key"), F.col("synonym"))).groupBy("key", "o", "canonical").agg(F.min("rank").alias("rank"))
-    hits = fields.select("doc_id", "idx", "key").join(told, "key")
+    hits = fields.select("doc_id", "idx", "key").join(told.hint("shuffle_hash"), "key")
 
     def work(rows: list[tuple]) -> list[tuple]:
         out, used, done = [], set(), set()
@@ -154,10 +155,10 @@ def apply_profile(fields: DataFrame, profile: tuple = INVOICE) -> DataFrame:
         return out
 
     chosen = in_groups(hits.select("doc_id", "o", "rank", "idx", "canonical"), 1, "doc_id long, idx long, canonical string", work)
-    named = fields.join(chosen, ["doc_id", "idx"], "left")
+    named = fields.join(chosen.hint("merge"), ["doc_id", "idx"], "left")
     own = named.filter("canonical IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("canonical").alias("_c"), F.col("raw").alias("_r"))
     again = F.col("canonical").isNull() & (F.col("doc_id") == F.col("_d")) & label_matches(F.col("key"), F.col("_c")) & (X.ascii_lower(F.col("raw")) == X.ascii_lower(F.col("_r")))
-    return named.join(own, again, "left_anti")
+    return named.join(own.hint("merge"), again, "left_anti")
 
 
 def field_scores(reference: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -210,3 +210,4 @@ def test_fields_are_never_sent_out(spark):
     assert {(r.doc_id, r.page, r.key, r.raw, r.place) for r in f.collect()} == {(1, 1, "Total Due", "$5.00", "right"), (1, 2, "Date", "2024-01-05", "below"), (None, 1, "Tax", None, "right")}
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan(f)
+    assert "BroadcastHashJoin" not in plan(fields.apply_profile(f))
