@@ -3,10 +3,11 @@ chunks of a page."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,24 +101,73 @@ def band_index(bounds: Column, value: Column) -> Column:
 APART_X, APART_Y, APART_SIZE = 0.75, 0.75, 0.5
 
 
+def _same(col: pa.Array) -> np.ndarray:
+    """For each row but the first, whether it equals the one before; nulls are equal."""
+    a, b = col.slice(0, len(col) - 1), col.slice(1)
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+
+
 def without_repeats(chunks: DataFrame) -> DataFrame:
     """Chunks without those that an earlier kept one of the same text and visibility stands under. What is kept depends
-    on what was kept before: chunks of one text of a page are worked through in order, and only kept ones in
-    neighbouring squares are looked at. chunks: doc_id, page, idx, text, x, y, size, invisible."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[tuple, list[tuple]] = {}
-        rows = []
-        for r in pdf.sort_values("idx").itertuples(index=False):
-            gx, gy = int(r.x // APART_X), int(r.y // APART_Y)
-            near = (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in kept.get((gx + dx, gy + dy), ()))
-            if not any(abs(k[0] - r.x) <= APART_X and abs(k[1] - r.y) <= APART_Y and abs(k[2] - r.size) <= APART_SIZE for k in near):
-                kept.setdefault((gx, gy), []).append((r.x, r.y, r.size))
-                rows.append((r.doc_id, r.page, r.idx))
-        return pd.DataFrame(rows, columns=["doc_id", "page", "idx"])
-
-    src = chunks.select("doc_id", "page", "idx", "text", "x", "y", "size", "invisible")
-    return src.groupBy("doc_id", "page", "text", "invisible").applyInPandas(run, "doc_id long, page int, idx int")
+    on what was kept before: chunks of one text of a page are streamed in order. The first one of a group is kept, and
+    what stands under it goes for all groups of a batch at once; what is left, and a group that goes on in the next batch,
+    is held against kept ones in neighbouring squares. Chunks without a place are kept. chunks: doc_id, page, idx, text, x, y,
+    size, invisible."""
+
+    def fresh(kept: dict[tuple, list[tuple]], x: float, y: float, size: float) -> bool:
+        """Whether no kept one is near; if so, it is kept."""
+        if not (np.isfinite(x) and np.isfinite(y)):
+            return True
+        gx, gy = int(x // APART_X), int(y // APART_Y)
+        near = (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in kept.get((gx + dx, gy + dy), ()))
+        if any(abs(k[0] - x) <= APART_X and abs(k[1] - y) <= APART_Y and abs(k[2] - size) <= APART_SIZE for k in near):
+            return False
+        kept.setdefault((gx, gy), []).append((x, y, size))
+        return True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, kept = None, {}  # the last row's group, and what is kept of it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k) for k in range(4)]
+            x, y, size = (batch.column(k).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for k in (5, 6, 7))
+            n = batch.num_rows
+            start = np.ones(n, bool)
+            start[1:] = ~np.logical_and.reduce([_same(k) for k in keys])
+            firsts = np.flatnonzero(start)
+            ends = np.append(firsts[1:], n)
+            stays = np.zeros(n, bool)
+
+            def stream(rows: Iterable[int], kept: dict, x=x, y=y, size=size, stays=stays) -> None:
+                for i in rows:
+                    stays[i] = fresh(kept, x[i], y[i], size[i])
+
+            if before != tuple(k[0].as_py() for k in keys):
+                kept = {}
+            stream(range(ends[0]), kept)
+            if len(firsts) > 1:
+                lo, hi = int(ends[0]), int(firsts[-1])
+                of = firsts[np.cumsum(start[lo:hi]) + np.searchsorted(firsts, lo) - 1]  # each row's first one
+                here = np.arange(lo, hi)
+                with np.errstate(invalid="ignore"):
+                    under = (np.abs(x[here] - x[of]) <= APART_X) & (np.abs(y[here] - y[of]) <= APART_Y) & (np.abs(size[here] - size[of]) <= APART_SIZE)
+                stays[lo:hi] = here == of
+                left = here[~under & (here != of)]
+                cuts = np.flatnonzero(np.append(True, of[left - lo][1:] != of[left - lo][:-1])) if len(left) else []
+                for rows in np.split(left, cuts[1:]) if len(left) else ():
+                    first = int(of[rows[0] - lo])
+                    kept = {}
+                    fresh(kept, x[first], y[first], size[first])
+                    stream(rows.tolist(), kept)
+                kept = {}
+                stream(range(hi, n), kept)
+            before = tuple(k[n - 1].as_py() for k in keys)
+            yield pa.record_batch([batch.column(k).filter(pa.array(stays)) for k in (0, 1, 4)], ["doc_id", "page", "idx"])
+
+    src = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", "invisible", F.col("idx").cast("int").alias("idx"), "x", "y", "size")
+    tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return src.repartition(tasks, "doc_id", "page").sortWithinPartitions(*src.columns).mapInArrow(run, "doc_id long, page int, idx int")
 
 
 def job_states(events: DataFrame, most_jobs: int, retention: int) -> DataFrame:

@@ -93,6 +93,30 @@ def test_repeated_chunks(spark):
     assert got == {k[2] for k in kept}
 
 
+def test_repeated_chunks_over_batches(spark):
+    """Groups that go on in the next batch, nulls, and groups of one row; no call of pandas for each group."""
+    r = random.Random(6)
+    place = lambda: r.choice([None, r.random() * 3, float(r.randrange(4))])
+    rows = [(r.choice([None, 1, 2]), r.randint(1, 2), i, r.choice(["a", "b", None, f"once {i}"]), place(), r.random() * 3, 9 + r.random(), r.choice([True, False, None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, x double, y double, size double, invisible boolean")
+    kept = {}
+    for d, p, i, t, x, y, s, v in rows:
+        mine = kept.setdefault((d, p, t, v), {})
+        if x is None or not any(k[0] is not None and abs(x - k[0]) <= 0.75 and abs(y - k[1]) <= 0.75 and abs(s - k[2]) <= 0.5 for k in mine.values()):
+            mine[i] = x, y, s
+    want = sorted(i for m in kept.values() for i in m)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(x.idx for x in pages.without_repeats(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) < 600
+    plan = pages.without_repeats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (None, 1), (4, 4)], "a long, b long")
     assert {(r.node, r.depth) for r in graphs.reachable(e, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
